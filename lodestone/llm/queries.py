@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import substring_dedup
+from lodestone.llm import packing, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op4_quality_rules": quality_rules.query,
+    "op9_packing": packing.query,
 }
 
 SQL: dict[str, str] = {}
