@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkernel as tk
+from lodestone.runtime import saved
 
 #: Words of an anchor gram; longer anchors make more blocks, shorter ones more boundary lookups.
 ANCHOR = 10
@@ -209,17 +210,24 @@ def remove_repeated_spans(docs: DataFrame, span: int = 50, with_text: bool = Tru
     shared = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_blocks")).where("n_blocks > 1").select("anchor", F.lit(True).alias("edge"))
     index = index.join(shared, "anchor", "left").where("edge OR first_doc < last_doc").select("s1", "s2", "first_doc", "edge")
     hits = blocks.join(index, ["s1", "s2"]).where("doc_id > first_doc OR edge")
-    per_doc = hits.groupBy("doc_id", "key").agg(
-        F.collect_list(F.when(F.col("doc_id") > F.col("first_doc"), F.struct("first", "n_windows"))).alias("full"),
-        F.collect_list(F.when(F.col("doc_id") == F.col("first_doc"), F.struct("first", "n_windows"))).alias("edges"),
+    per_doc = saved(
+        hits.groupBy("doc_id", "key").agg(
+            F.collect_list(F.when(F.col("doc_id") > F.col("first_doc"), F.struct("first", "n_windows"))).alias("full"),
+            F.collect_list(F.when(F.col("doc_id") == F.col("first_doc"), F.struct("first", "n_windows"))).alias("edges"),
+        ),
+        "factors",
     )
-    edges = docs.join(per_doc.where("size(edges) > 0").select("doc_id", "key", F.col("edges.first").alias("edge_first"), F.col("edges.n_windows").alias("edge_n")), ["doc_id", "key"])
+    # both joins below need the texts dealt by document: the same filter and columns let Spark reuse that exchange
+    named = docs.where("doc_id IS NOT NULL")
+    edges = named.join(per_doc.where("size(edges) > 0").select("doc_id", "key", F.col("edges.first").alias("edge_first"), F.col("edges.n_windows").alias("edge_n")), ["doc_id", "key"])
     windows = edges.mapInArrow(_emit_windows(span), _WINDOW)
     earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
     inner = windows.join(earliest, ["w1", "w2"]).where("doc_id > first_doc").groupBy("doc_id", "key").agg(F.collect_set("first").alias("edge_at"))
     full = per_doc.where("size(full) > 0").select("doc_id", "key", F.col("full.first").alias("full_first"), F.col("full.n_windows").alias("full_n"))
     found = full.join(inner, ["doc_id", "key"], "full")
-    return docs.join(found, ["doc_id", "key"], "left").mapInArrow(_cut(span, with_text), _RESULT)
+    none = F.lit(None).cast("array<int>")
+    nameless = docs.where("doc_id IS NULL").select("doc_id", "key", "text", none.alias("full_first"), none.alias("full_n"), none.alias("edge_at"))
+    return named.join(found, ["doc_id", "key"], "left").unionByName(nameless).mapInArrow(_cut(span, with_text), _RESULT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
