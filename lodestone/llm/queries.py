@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import license_scan, ngram_join, packing, quality_rules, substring_dedup
+from lodestone.llm import license_scan, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op3_license_scan": license_scan.query,
     "op4_quality_rules": quality_rules.query,
+    "op6_pii": pii.query,
+    "op7_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_ngram_join": ngram_join.query,
 }
