@@ -228,13 +228,15 @@ def join(docs: DataFrame, threshold: float = 0.8, trees: int = 32, target_recall
     led = placed.groupBy("node").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
     member = saved(placed.join(led, "node").select("leader", "rep").distinct(), "members")
     size = member.join(nodes.select("rep", "n_shingles").dropDuplicates(["rep"]), "rep").groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    # only groups of several tiles are listed, so that a large group meets one row of a plain table in a join that can be split
     tiles = size.select("leader", F.greatest(F.ceil(F.col("n") / TILE_ROWS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int").alias("n_tiles"))
+    tiles = saved(tiles.where("n_tiles > 1"), "tiles")
     own_tile = F.pmod(F.xxhash64("rep", "leader"), F.col("n_tiles")).cast("int")
     visits = F.transform(
         F.sequence(F.lit(0), F.col("n_tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"))
     )
     routes = (
-        member.join(tiles, "leader").withColumn("tile", own_tile)
+        member.join(tiles, "leader", "left").withColumn("n_tiles", F.coalesce("n_tiles", F.lit(1))).withColumn("tile", own_tile)
         .groupBy("rep").agg(F.collect_list(F.struct("leader", "tile", "n_tiles")).alias("routes"))
     )
     wanted = nodes.select("rep", "key", "weight").dropDuplicates(["rep"]).join(routes, "rep")
