@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import license_scan, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity
+from lodestone.llm import cotraining, embedding_dedup, license_scan, mixing, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_embedding_dedup": embedding_dedup.query,
     "op3_license_scan": license_scan.query,
     "op4_quality_rules": quality_rules.query,
+    "op5_cotraining": cotraining.query,
     "op6_pii": pii.query,
     "op7_toxicity": toxicity.query,
+    "op8_mixing": mixing.query,
     "op9_packing": packing.query,
     "op10_ngram_join": ngram_join.query,
 }
