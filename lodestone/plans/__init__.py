@@ -1 +1 @@
-"""Plans of the engine."""
+"""Plans of the engine: encoding of terms and compilation of formulas."""
