@@ -32,7 +32,9 @@ from lodestone.runtime import saved
 
 EOS = 1
 #: Distinct pieces a worker remembers between chunks; a full table starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 400_000
+#: Texts encoded at once; their encodings take far more memory than their ids.
+AT_ONCE = 10_000
 
 _TOKENS = "doc_id long, task int, before long, n_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -82,7 +84,8 @@ class Encoder:
         return cls._one[path]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        parts = (texts[i : i + AT_ONCE] for i in range(0, len(texts), AT_ONCE))
+        return [np.array(e.ids, dtype=np.uint32) for part in parts for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
 
     def _split(self, points: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """First character of every piece: runs of one class, a run taking a space before it along;

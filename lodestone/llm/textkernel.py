@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; bounds a task's temporary arrays.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 # The separators of a word, 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, dtype=bool)
