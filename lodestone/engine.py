@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.functions.python import PythonFunction, load_computed, register_all
+from lodestone.operators import chase as chasing
+from lodestone.operators.homomorphism import CQ
+from lodestone.operators.rewriting import rewrite, union_query
+from lodestone.operators.ruleset import Compiled, analyse, compile_rules
 from lodestone.parser import Document, parse
 from lodestone.plans.compiler import Compiler
+from lodestone.plans.encoding import PlanError
+from lodestone.sources import files, views
 from lodestone.sources.catalog import Catalog
 from lodestone.syntax import Query
 
@@ -27,24 +36,99 @@ class Engine:
         """An engine over a folder of parquet tables, one predicate each."""
         return cls(spark, Catalog(spark).parquet(folder, *tables))
 
+    # input
     def load(self, text: str) -> Document:
         """Parse a text and take in its facts, rules, queries and constraints."""
         return self.take(parse(text))
 
-    def take(self, doc: Document) -> Document:
+    def load_file(self, path: str) -> Document:
+        """A document with its imports, computed functions and views; other formats by their parser."""
+        last = Document()
+        for file in files.resolve_imports(str(path)):
+            kind = files.detect_format(file)
+            if kind == "dlgpe":
+                last = self.take(parse(Path(file).read_text(encoding="utf-8")), str(Path(file).parent))
+            elif kind == "views":
+                views.add_views(self.catalog, views.read_document(Path(file).read_text(encoding="utf-8"), str(Path(file).parent)), str(Path(file).parent))
+            else:
+                files.parser(kind)(self.catalog, file)
+        return last
+
+    def take(self, doc: Document, base: str = ".") -> Document:
+        if doc.una or doc.top:
+            warnings.warn("@una and @top are recorded only", stacklevel=2)
+        for prefix, target in doc.computed.items():
+            if target not in ("stdfct", "stdfct:"):
+                register_all(self.catalog.functions, load_computed(Path(base) / target, prefix))
+        for prefix, target in doc.views.items():
+            path = Path(base) / target
+            views.add_views(self.catalog, views.read_document(path.read_text(encoding="utf-8"), str(path.parent)), str(path.parent), prefix)
         self.catalog.add_facts(doc.facts)
         self.rules += doc.rules
         self.constraints += doc.constraints
         self.queries += doc.queries
         return doc
 
+    def function(self, name: str, f: Callable, **options) -> PythonFunction:
+        """Register a Python function as computed predicate `name`, which has a prefix."""
+        if ":" not in name:
+            raise PlanError("a computed predicate has a prefix")
+        made = PythonFunction(name, f, **options)
+        register_all(self.catalog.functions, {name: made})
+        return made
+
+    def parse_query(self, text: str) -> Query:
+        """A query whose computed prefixes are those of the registered functions."""
+        prefixes = {n.split(":")[0] for n in self.catalog.functions}
+        head = "".join(f"@computed {p}: <registered>.\n" for p in sorted(prefixes))
+        return parse(head + text).queries[0]
+
+    # output
     def ask(self, query: Query | str, names: list[str] | None = None, bindings: DataFrame | None = None) -> DataFrame:
         """Distinct answers, one column per answer variable."""
-        if isinstance(query, str):
-            doc = parse(query)
-            query = doc.queries[0]
+        query = self.parse_query(query) if isinstance(query, str) else query
         return Compiler(self.catalog).query(query, names, bindings)
 
+    def prepare(self, query: Query | str, names: list[str] | None = None) -> Callable[[DataFrame], DataFrame]:
+        """The query as a function of a bindings frame."""
+        query = self.parse_query(query) if isinstance(query, str) else query
+        return lambda bindings: Compiler(self.catalog).query(query, names, bindings)
+
+    def chase(self, options: chasing.Options | None = None, **settings) -> chasing.Result:
+        """Saturate a copy of the catalog under the engine's rules."""
+        return chasing.chase(self.catalog, self.rules, options or chasing.Options(**settings))
+
+    def saturated(self, **settings) -> Engine:
+        """An engine over the saturated catalog."""
+        out = Engine(self.spark, self.chase(**settings).catalog)
+        out.constraints = list(self.constraints)
+        return out
+
+    def rewrite(self, query: Query | str, step_limit: int | None = None) -> list[CQ]:
+        query = self.parse_query(query) if isinstance(query, str) else query
+        return rewrite(query, self.rules, step_limit)
+
+    def ask_rewritten(self, query: Query | str, names: list[str] | None = None, step_limit: int | None = None) -> DataFrame:
+        """Answers under the rules by rewriting: one plan over the stored facts."""
+        query = self.parse_query(query) if isinstance(query, str) else query
+        names = names or [v.name for v in query.answers] or None
+        return Compiler(self.catalog).query(union_query(self.rewrite(query, step_limit)), names)
+
+    def ask_compiled(self, query: Query | str, kind: str = "id", names: list[str] | None = None) -> DataFrame:
+        """Answers under the compilable rules: every scan becomes the union of what entails it."""
+        query = self.parse_query(query) if isinstance(query, str) else query
+        compiled: Compiled = compile_rules(self.rules, kind)
+        return Compiler(self.catalog).query(Query(query.answers, compiled.evaluate(query.body), query.label, query.bound), names)
+
+    def violations(self) -> list:
+        return [c for c, broken in chasing.violations(self.catalog, self.constraints) if broken]
+
+    def properties(self, wanted: Iterable[str] | None = None) -> dict[str, bool]:
+        return analyse(self.rules, wanted)
+
+    def explain(self, query: Query | str) -> str:
+        return self.ask(query)._jdf.queryExecution().toString()
+
     def __enter__(self) -> Engine:
         return self
 
@@ -54,6 +138,3 @@ class Engine:
     def close(self) -> None:
         self.catalog.sources.clear()
         self.catalog.versions.clear()
-
-
-__all__ = ["Engine", "Path"]

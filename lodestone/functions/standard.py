@@ -402,7 +402,20 @@ def evaluate(name: str, args: list[Arg]) -> Column:
     """The function's value; NULL where it has none."""
     least, most = arity(name)
     _need(least <= len(args) <= most, f"{name} takes {least} to {most} inputs")
-    return _TABLE[name][2](args)
+    return _TABLE[name][2]([_wide(a) for a in args])
+
+
+def _wide(a: Arg) -> Arg:
+    """Integers of any width as bigint, fractions as double, inside collections too."""
+    def widened(t: T.DataType) -> T.DataType:
+        if isinstance(t, _INTEGRAL):
+            return T.LongType()
+        if isinstance(t, T.FloatType):
+            return T.DoubleType()
+        return T.ArrayType(widened(t.elementType)) if isinstance(t, T.ArrayType) else t
+
+    kind = widened(a.type)
+    return a if kind.simpleString() == a.type.simpleString() else Arg(a.col.cast(kind), kind)
 
 
 INVERTIBLE = frozenset(["sum", "minus", "product", "divide", "average"])

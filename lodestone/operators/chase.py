@@ -222,7 +222,8 @@ class _Round:
                 return 0
             self.catalog.sources[key] = Source(lambda: made.limit(1), made.schema, writable=True)
             return 1
-        made = made.distinct()
+        # positions without any type are of empty plans
+        made = made.select(*(F.col(f.name).cast("string").alias(f.name) if f.dataType.simpleString() == "void" else F.col(f.name) for f in made.schema.fields)).distinct()
         if source is not None:
             made = without(made, source.frame())
         new = saved(made, f"delta-{re.sub(r'[^A-Za-z0-9]', '_', key[0])}")

@@ -257,7 +257,7 @@ class Compiler:
     def nothing(self, rel: Rel, parts: list) -> Rel:
         """The empty relation over all variables."""
         found = list(dict.fromkeys([*rel.vars, *(v for p in parts for v in free(p))]))
-        fields = [T.StructField(column_name(v), self.type_in(v, And(tuple(parts)))) for v in found] or [T.StructField("v_unit", T.BooleanType())]
+        fields = [T.StructField(column_name(v), rel.type(v) if v in rel.vars else self.type_in(v, And(tuple(parts)), T.NullType())) for v in found] or [T.StructField("v_unit", T.BooleanType())]
         return Rel(self.spark.createDataFrame([], T.StructType(fields)), found)
 
     def atom(self, a: Atom, rel: Rel) -> Rel:
@@ -479,14 +479,14 @@ class Compiler:
             rel = self.join(rel, Rel(domain, [v]))
         return rel
 
-    def type_in(self, v: Var, f) -> T.DataType:
+    def type_in(self, v: Var, f, unknown: T.DataType | None = None) -> T.DataType:
         """The type of a variable: that of a position where it stands."""
         for a in atoms_of(f):
             schema = self.catalog.schema(a)
             for i, t in enumerate(a.terms):
                 if t == v and schema is not None:
                     return schema[i].dataType
-        return T.StringType()
+        return unknown or T.StringType()
 
 
 def _typed_alike(a: T.DataType, b: T.DataType) -> bool:

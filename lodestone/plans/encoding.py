@@ -95,6 +95,8 @@ def literal_column(term: Term, target: T.DataType | None = None) -> tuple[Column
 
 def same(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
     """Equality of terms; types that never agree are never equal."""
+    if isinstance(ta, T.NullType) or isinstance(tb, T.NullType):
+        return F.lit(False)
     if is_term(ta) or is_term(tb):
         return to_term(a, ta).eqNullSafe(to_term(b, tb))
     if isinstance(ta, NUMERIC) and isinstance(tb, NUMERIC):
@@ -109,8 +111,10 @@ def same(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
 
 def common(ta: T.DataType, tb: T.DataType) -> T.DataType:
     """The type in which two positions of one variable meet."""
-    if ta.simpleString() == tb.simpleString():
+    if ta.simpleString() == tb.simpleString() or isinstance(tb, T.NullType):
         return ta
+    if isinstance(ta, T.NullType):  # positions of predicates that nobody fills
+        return tb
     if isinstance(ta, INTEGRAL) and isinstance(tb, INTEGRAL):
         return T.LongType()
     if isinstance(ta, NUMERIC) and isinstance(tb, NUMERIC):
@@ -121,6 +125,8 @@ def common(ta: T.DataType, tb: T.DataType) -> T.DataType:
 def convert(col: Column, t: T.DataType, target: T.DataType) -> Column:
     if t.simpleString() == target.simpleString():
         return col
+    if isinstance(t, T.NullType):
+        return col.cast(target)
     return to_term(col, t) if is_term(target) else col.cast(target)
 
 

@@ -221,13 +221,13 @@ def localise(f, outside: set):
     if isinstance(f, Or):  # a quantifier distributes over the disjuncts
         out = []
         for p in f.parts:
-            local = tuple(v for v in free(p) if v not in outside)
-            inner = localise(p, outside | set(local))
+            inner = localise(p, outside)
+            local = tuple(v for v in free(inner) if v not in outside)
             out.append(Exists(local, inner) if local else inner)
         return Or(tuple(out))
     if isinstance(f, Not):
-        local = tuple(v for v in free(f.part) if v not in outside)
-        inner = localise(f.part, outside | set(local))
+        inner = localise(f.part, outside)
+        local = tuple(v for v in free(inner) if v not in outside)
         return Not(Exists(local, inner)) if local else Not(inner)
     return f
 
