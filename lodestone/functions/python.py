@@ -7,6 +7,7 @@ import importlib.util
 import inspect
 import json
 import typing
+from collections import abc
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -15,12 +16,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import PandasUDFType
 
+#: Variadic arguments carry no hints, so the kind of UDF is named.
+_SCALAR = PandasUDFType.SCALAR
 _TYPES = {int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bool: T.BooleanType(), bytes: T.BinaryType()}
 
 
 def _spark_type(hint: object, default: T.DataType) -> T.DataType:
-    if typing.get_origin(hint) in (list, tuple, set, typing.Iterator, typing.Iterable) or typing.get_origin(hint) in (__import__("collections.abc", fromlist=["x"]).Iterator, __import__("collections.abc", fromlist=["x"]).Iterable):
+    if typing.get_origin(hint) in (list, tuple, set, abc.Iterator, abc.Iterable):
         inner = typing.get_args(hint)
         return T.ArrayType(_spark_type(inner[0] if inner else str, T.StringType()))
     return _TYPES.get(hint, default)
@@ -88,9 +92,7 @@ class PythonFunction:
             return pd.Series([one(v) for v in zip(*columns, strict=True)], dtype=object)
 
         kind = T.ArrayType(self.returns) if many else self.returns
-        annotated = {f"a{i}": pd.Series for i in range(len(args))}
-        wrapped = F.pandas_udf(batch, returnType=kind, functionType=200)
-        del annotated
+        wrapped = F.pandas_udf(batch, returnType=kind, functionType=_SCALAR)
         return wrapped(*args) if args else wrapped(F.lit(0))
 
     def solve(self, known: list[Column | None], types: list[T.DataType]) -> Column:
@@ -111,7 +113,7 @@ class PythonFunction:
                     out.append([])
             return pd.Series(out, dtype=object)
 
-        return F.pandas_udf(batch, returnType=kind, functionType=200)(*(known[i] for i in places))
+        return F.pandas_udf(batch, returnType=kind, functionType=_SCALAR)(*(known[i] for i in places))
 
 
 def _module(config: dict, base: Path):
