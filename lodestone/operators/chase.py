@@ -275,8 +275,12 @@ def _layers(rules: list[Rule], o: Options) -> list[list[Rule]]:
     return found
 
 
-def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = None, layers: list[list[Rule]] | None = None) -> Result:
-    """Saturate the catalog under the rules; the given catalog stays as it is."""
+def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = None, layers: list[list[Rule]] | None = None, changed: dict[Key, DataFrame] | None = None) -> Result:
+    """Saturate the catalog under the rules; the given catalog stays as it is.
+
+    With `changed`, rows that the catalog holds but that no saturation has seen yet, only their
+    consequences are computed; that needs rules without negation.
+    """
     o = options or Options()
     rules = list(rules)
     prepared = _prepared(rules, o)
@@ -287,6 +291,10 @@ def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = Non
     result = Result(catalog)
     began = time.monotonic()
     total = catalog.count() if o.max_atoms is not None else 0
+    if changed is not None:
+        if any(negative_atoms(r.body) for r in prepared):
+            raise PlanError("new rows can take back what negation derived: saturate from the start")
+        layers = [rules]
     strata_ = [_prepared(layer, o) for layer in layers] if layers is not None else _layers(prepared, o)
     lineage: list[DataFrame] = []
     for depth, layer in enumerate(strata_):
@@ -295,6 +303,9 @@ def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = Non
         graph = dependencies(layer, "unifier") if o.scheduler == "grd" else None
         last: set[int] | None = None
         step = 0
+        if changed is not None:
+            state.delta = dict(changed)
+            catalog.versions = {(k, "delta"): df for k, df in changed.items()}
         while True:
             if o.max_steps is not None and result.steps >= o.max_steps:
                 result.stopped = "step limit"
@@ -315,7 +326,7 @@ def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = Non
             made: dict[Key, list[DataFrame]] = {}
             fired: dict[Key, set[int]] = {}
             for i in due:
-                for rel in state.triggers(layer[i], step == 0):
+                for rel in state.triggers(layer[i], step == 0 and changed is None):
                     for key, df in state.heads(layer[i], rel, i, result.steps):
                         made.setdefault(key, []).append(df)
                         fired.setdefault(key, set()).add(i)

@@ -1 +1,5 @@
-"""Streaming of the engine."""
+"""Saturation of arriving facts."""
+
+from lodestone.streaming.incremental import Saturation
+
+__all__ = ["Saturation"]
