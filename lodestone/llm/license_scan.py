@@ -174,3 +174,35 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def sql() -> str:
+    """The scan of `documents` as SQL, from the same templates."""
+    words = ", ".join(f"({t}, '{label}', {at}, '{w}', {key})" for t, label, at, w, key in _template_words())
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, i - 1 AS i FROM d, range(1, len(w) + 1) r(i) WHERE list_contains(w, '{p.split()[0]}') AND w[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p, label in BASE
+    )
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tw(t, label, place, word, mandatory) AS (VALUES {words}),
+df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM tw) GROUP BY word),
+idf AS (SELECT word, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(df, 0))) + 1e-6 AS weight FROM (SELECT DISTINCT word FROM tw) LEFT JOIN df USING (word)),
+ranked AS (SELECT t, word, weight, row_number() OVER (PARTITION BY t ORDER BY weight DESC, word) <= {RARE} AS rare FROM (SELECT DISTINCT t, word FROM tw) JOIN idf USING (word)),
+used AS (SELECT tw.*, weight, rare FROM tw JOIN ranked USING (t, word) WHERE mandatory OR rare),
+total AS (SELECT t, sum(weight) AS total, count_if(mandatory) AS n_mandatory FROM used GROUP BY t),
+pos AS (SELECT doc_id, word, i FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d) WHERE word IN (SELECT word FROM used)),
+held AS (SELECT DISTINCT doc_id, word FROM pos WHERE word IN (SELECT word FROM used WHERE rare)),
+looked AS (SELECT doc_id, word FROM held JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, word) <= {LOOKED_UP}),
+met AS (SELECT p.doc_id, u.t, u.label, p.i - u.place AS shift, u.mandatory, u.weight, u.rare AND l.word IS NOT NULL AS hit
+  FROM pos p JOIN used u USING (word) LEFT JOIN looked l ON l.doc_id = p.doc_id AND l.word = p.word),
+found AS (SELECT doc_id, label, least(1.0, sum(weight) / any_value(total)) AS share FROM met JOIN total USING (t) GROUP BY doc_id, t, label, shift
+  HAVING count_if(mandatory) = any_value(n_mandatory) AND bool_or(hit)),
+own AS (SELECT doc_id, list(DISTINCT label) AS own, max(share) AS share FROM found GROUP BY doc_id),
+place AS ({base}),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM place GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(own, [])))), ',') AS labels,
+  CAST(round(greatest(coalesce(share, 0.0), CASE WHEN n > 0 THEN 0.5 ELSE 0.0 END), 6) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
+"""

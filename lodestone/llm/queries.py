@@ -38,6 +38,7 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT vec_id, CAST((SELECT count(*) FROM link WHERE link.a = vec_id) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp ON comp.a = vec_id
 """,
+    "op3_license_scan": license_scan.sql(),
     "op4_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 line AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
