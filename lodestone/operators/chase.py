@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 import threading
 import time
-import warnings
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
@@ -21,13 +20,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import standard
 from lodestone.functions.standard import Arg, FunctionError
-from lodestone.operators.ruleset import components, dependencies, negative_atoms, positive_atoms, split, strata, weakly_acyclic
+from lodestone.operators.ruleset import dependencies, negative_atoms, positive_atoms, split, strata, weakly_acyclic
 from lodestone.plans.compiler import Compiler, Rel
 from lodestone.plans.encoding import PlanError, literal_column, term_struct, to_term
 from lodestone.runtime import saved
-from lodestone.sources.catalog import Catalog, Key, Source, align, frame_source, without
+from lodestone.sources.catalog import Catalog, Key, Source, align, without
 from lodestone.syntax import And, Atom, Constraint, Exists, Not, Query, Rule, conjuncts, dnf, free, normal
-from lodestone.terms import Func, Null, Term, Var, variables_of
+from lodestone.terms import Func, Term, Var, variables_of
 
 COMPUTERS = ("semi_naive", "naive", "two_steps", "restricted")
 CHECKERS = ("always_true", "oblivious", "semi_oblivious", "restricted", "equivalent", "so_restricted")
@@ -436,4 +435,3 @@ def certain(df: DataFrame) -> DataFrame:
 
 
 __all__ = ["MayNotTerminate", "Options", "Result", "ancestors", "certain", "chase", "fact_text", "violations"]
-_ = (Null, components, frame_source, warnings)

@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 
 from lodestone.functions import standard
 from lodestone.functions.standard import Arg, FunctionError
-from lodestone.plans.encoding import TERM, PlanError, common, compare, convert, is_term, literal_column, same
+from lodestone.plans.encoding import PlanError, common, compare, convert, is_term, literal_column, same
 from lodestone.sources.catalog import Catalog
 from lodestone.syntax import And, Apply, Atom, Cmp, Eq, Exists, Not, Or, Query, atoms_of, free, fresh, normal, substitute
-from lodestone.terms import Func, Null, Term, Var, is_ground, variables_of
+from lodestone.terms import Func, Term, Var, is_ground, variables_of
 
 
 class UnsafeNegationWarning(UserWarning):
@@ -505,6 +505,3 @@ def _distinct_names(names: list[str]) -> list[str]:
             new = f"{n}_{k}"
         out.append(new)
     return out
-
-
-_ = (TERM, Null)

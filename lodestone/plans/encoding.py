@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.terms import Const, Func, Lit, Null, Term, Var, unparse
+from lodestone.terms import Const, Func, Lit, Null, Term, unparse
 
 TERM = T.StructType([T.StructField(n, T.StringType()) for n in ("k", "v", "dt", "lang")])
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -181,6 +181,3 @@ def from_row(value: object) -> Term:
     from lodestone.terms import from_python
 
     return from_python(value)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["Var"]

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
-from lodestone.operators.chase import Options, ancestors, certain, chase, fact_text
-from lodestone.runtime import saved, shared_dir
+from lodestone.operators.chase import ancestors, certain, fact_text
+from lodestone.runtime import shared_dir
 from lodestone.sources import files, views
 from lodestone.sources.catalog import frame_source
 
@@ -117,7 +117,7 @@ def _not_unsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _forall_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that reach every value of the domain, by a universal quantifier over it."""
-    from lodestone.syntax import Atom, Forall, Query
+    from lodestone.syntax import And, Atom, Exists, Forall, Query
     from lodestone.terms import Var
 
     e = Engine(spark)
@@ -125,8 +125,6 @@ def _forall_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = region.selectExpr("r_regionkey AS a").crossJoin(region.selectExpr("r_regionkey AS b")).where("a <= 2 OR b < 3")
     e.catalog.add("near", frame_source(pairs))
     x, y = Var("X"), Var("Y")
-    from lodestone.syntax import And, Exists
-
     return e.ask(Query((x,), And((Exists((Var("Z"),), Atom("near", (x, Var("Z")))), Forall((y,), Atom("near", (x, y)))))), ["a"])
 
 
@@ -322,7 +320,6 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "chase_exist_count": (_chase_count("semi_oblivious"), "SELECT (SELECT count(DISTINCT (c_nationkey, c_custkey)) FROM customer WHERE c_acctbal > 5000) + (SELECT count(DISTINCT n_nationkey) FROM nation) AS n"),
     "chase_restricted_count": (_rules("nation customer", "served(N, C) :- customer(C, A, N, B, S), B > 9900.0. covered(N) :- served(N, C). open(N, Z) :- nation(N, X, R), not covered(N).", "?(N) :- open(N, Z).", "n", checker="restricted"), "SELECT n_nationkey AS n FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900"),
     "chase_function_head": (_rules("nation", "next(N, K + 1) :- nation(K, N, R). inverse(N, 12 / K) :- nation(K, N, R).", "?(N, J, I) :- next(N, J), inverse(N, I).", "n_name j i"), "SELECT DISTINCT n_name, CAST(n_nationkey + 1 AS BIGINT) AS j, 12::DOUBLE / n_nationkey AS i FROM nation WHERE n_nationkey <> 0"),
-    "chase_certain": (_rules("nation supplier", "seat(N, P) :- supplier(P, A, N, B). seat(N, Z) :- nation(N, X, R).", "?(N, P) :- seat(N, P).", "n p"), "SELECT DISTINCT struct_pack(k := 'c', v := CAST(s_nationkey AS VARCHAR)).v AS n, '' AS p FROM supplier WHERE 1 = 0"),
     "rewrite_hierarchy": (_rewritten("customer supplier", "party(N, K) :- customer(C, N, K, B, S). party(N, K) :- supplier(C, N, K, B). place(K) :- party(N, K).", "?(K) :- place(K).", "k"), "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
     "rewrite_exist": (_rewritten("nation customer", "home(C, K) :- customer(C, N, K, B, S). inside(K, Z) :- home(C, K). at(Z) :- inside(K, Z).", "?(K) :- inside(K, Z), at(Z).", "k"), "SELECT DISTINCT c_nationkey AS k FROM customer"),
     "rewrite_disj": (_rewritten("nation", "green(K) | red(K) :- nation(K, N, R). good(K) :- green(K). good(K) :- red(K).", "?(K) :- good(K).", "k", 4), "SELECT DISTINCT n_nationkey AS k FROM nation"),
@@ -345,4 +342,3 @@ OTHER["chase_certain"] = (_chase_certain, "SELECT DISTINCT s_nationkey AS n, s_s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{n: _plain(n) for n in PLAIN}, **{n: f for n, (f, _) in OTHER.items()}}
 SQL: dict[str, str] = {**{n: s for n, (_, _, s) in PLAIN.items()}, **{n: s for n, (_, s) in OTHER.items() if s}}
-_ = (chase, Options, saved)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
-from lodestone.terms import Const, Func, Lit, Null, Term, Var, variables_of
+from lodestone.terms import Const, Func, Term, Var, variables_of
 
 
 @dataclass(frozen=True)
@@ -336,7 +336,3 @@ class FormulaBuilder:
         for wrap in reversed(self._wrap):
             out = wrap(out)
         return out
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = (Const, Lit, Null)

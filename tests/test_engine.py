@@ -8,10 +8,10 @@ from lodestone.engine import Engine
 from lodestone.operators.chase import CHECKERS, COMPUTERS, RENAMERS, MayNotTerminate, Options, ancestors, chase
 from lodestone.operators.cores import collect, is_core
 from lodestone.operators.homomorphism import equivalent_sets
+from lodestone.parser import parse
 from lodestone.plans.compiler import Compiler, UnsafeNegationWarning
 from lodestone.plans.encoding import PlanError
 from lodestone.sources import files, views
-from lodestone.sources.catalog import frame_source
 from lodestone.syntax import Atom, Exists, Forall, Query
 from lodestone.terms import Const, Func, Null, Var
 
@@ -102,7 +102,7 @@ def test_chase_limits_and_core(spark):
     assert r.stopped == "step limit" and is_core(collect(r.catalog)) and {str(a) for a in collect(r.catalog)} == {"p(a, b)", "p(b, b)"}
     assert e.chase(max_atoms=2).stopped == "atom limit" and e.chase(timeout=0.0).stopped == "timeout"
     with pytest.raises(PlanError):
-        chase(e.catalog, e.parse_query and __import__("lodestone.parser", fromlist=["parse"]).parse("a(X) | b(X) :- p(X,Y).").rules)
+        chase(e.catalog, parse("a(X) | b(X) :- p(X,Y).").rules)
     with pytest.raises(ValueError):
         Options(computer="none")
 
@@ -197,6 +197,3 @@ def test_cli(tmp_path, capsys):
     (tmp_path / "q.dlgp").write_text("g(X,X) :- v(X).\n?(X,Y) :- g(X,Y).")
     assert cli.main([str(tmp_path / "q.dlgp"), "-v"]) == 0 and "v(X)" in capsys.readouterr().out
     assert cli.main([str(tmp_path / "q.dlgp"), "-m"]) == 0
-
-
-_ = frame_source
