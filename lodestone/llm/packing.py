@@ -32,7 +32,9 @@ from lodestone.runtime import saved
 
 EOS = 1
 #: Distinct pieces a worker remembers between chunks; a full table starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Bytes of text handled at once: the larger, the fewer pieces are looked up again.
+CHUNK_BYTES = 2 << 20
 #: Texts encoded at once; their encodings take far more memory than their ids.
 AT_ONCE = 10_000
 
@@ -181,7 +183,7 @@ def _tokenise(path: str, eos: int):
         encoder = Encoder.shared(path)
         task, total = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in tk.chunks(batch):
+            for part in tk.chunks(batch, limit=CHUNK_BYTES):
                 ids, bounds = encoder.rows(part.column("text"))
                 counts = np.diff(bounds) + 1
                 ends = np.cumsum(counts)
