@@ -35,8 +35,10 @@ EOS = 1
 REMEMBERED = 1_000_000
 #: Bytes of text handled at once: the larger, the fewer pieces are looked up again.
 CHUNK_BYTES = 2 << 20
-#: Texts encoded at once; their encodings take far more memory than their ids.
-AT_ONCE = 10_000
+#: Characters encoded at once, a text at least; encodings take far more memory than their ids.
+AT_ONCE = 1 << 17
+#: Bytes hashed at once, a piece at least; hashing takes 24 bytes for each.
+HASHED_AT_ONCE = 1 << 18
 
 _TOKENS = "doc_id long, task int, before long, n_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -86,9 +88,21 @@ class Encoder:
         return cls._one[path]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = (texts[i : i + AT_ONCE] for i in range(0, len(texts), AT_ONCE))
+        group = np.cumsum([len(t) for t in texts]) // AT_ONCE
+        cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        parts = (texts[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))
         return [np.array(e.ids, dtype=np.uint32) for part in parts for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
 
+    @staticmethod
+    def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the pieces, which cover raw from end to end."""
+        cut = [0, *(np.flatnonzero(np.diff(start // HASHED_AT_ONCE)) + 1).tolist(), len(start)]
+        out = np.empty(len(start), dtype=tk.U64)
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            low = start[a]
+            out[a:b] = tk.spans_hash(tk._BYTES[raw[low : end[b - 1]]], start[a:b] - low, end[a:b] - low, 0)
+        return out
+
     def _split(self, points: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """First character of every piece: runs of one class, a run taking a space before it along;
         of white space before another run, the last character goes with that run if it is a space
@@ -143,11 +157,11 @@ class Encoder:
         edge = np.zeros(len(points) + 1, dtype=bool)
         row_first = np.searchsorted(at, offsets)
         edge[row_first] = True
-        begin = self._split(points, edge)
-        start = at[begin]
+        start = at[self._split(points, edge)]
+        del at, edge, points, row_first
         end = np.append(start[1:], len(raw))
         rows = np.searchsorted(start, offsets)
-        hashes = tk.spans_hash(tk._BYTES[raw], start, end, 0)
+        hashes = self._hashes(raw, start, end)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         table = self._look_up(distinct, raw, start[first], end[first])
         many = np.diff(self.bounds)[table]
