@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from lodestone.iri import IRIManager
 from lodestone.plans.encoding import TERM, PlanError, is_term, term_struct, to_term
 from lodestone.sources.catalog import Catalog, positional
+from lodestone.sources.rdf_documents import parse_jsonld, parse_rdfxml
 from lodestone.terms import RDF, XSD
 
 RDF_TYPE = RDF + "type"
@@ -125,11 +126,12 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
 
 
 _TURTLE = re.compile(r"""\s+|\#[^\n]*|(?P<iri><[^>\s]*>)|(?P<long>\"{3}.*?\"{3})|(?P<string>"(?:[^"\\\n]|\\.)*")|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<type>\^\^)
-  |(?P<number>[+-]?(?:\d+\.\d*[eE][+-]?\d+|\d+[eE][+-]?\d+|\d*\.\d+|\d+))|(?P<blank>_:[\w-]+)|(?P<name>[\w-]*:[\w.%-]*[\w%-]|[\w-]*:)|(?P<word>[A-Za-z]+)|(?P<mark>[;,.\[\]()])""", re.VERBOSE | re.DOTALL)
+  |(?P<number>[+-]?(?:\d+\.\d*[eE][+-]?\d+|\d+[eE][+-]?\d+|\d*\.\d+|\d+))|(?P<blank>_:[\w-]+)|(?P<name>[\w-]*:[\w.%-]*[\w%-]|[\w-]*:)|(?P<word>[A-Za-z]+)|(?P<mark>[;,.\[\](){}])""", re.VERBOSE | re.DOTALL)
 
 
 def parse_turtle(text: str, base: str | None = None) -> list[tuple[tuple, tuple, tuple]]:
-    """Triples of TERM tuples of a Turtle subset: prefixes, base, ; and , lists, blank nodes, collections."""
+    """Triples of TERM tuples of a Turtle subset: prefixes, base, ; and , lists, blank nodes, collections; of
+    TriG also the triples in graphs, without the graphs' names."""
     tokens, at = [], 0
     while at < len(text):
         m = _TURTLE.match(text, at)
@@ -213,9 +215,19 @@ def parse_turtle(text: str, base: str | None = None) -> list[tuple[tuple, tuple,
                 return
             while peek()[1] == ";":
                 take()
-            if peek()[1] in (".", "]"):
+            if peek()[1] in (".", "]", "}"):
                 return
 
+    def graph() -> None:
+        take("{")
+        while peek()[1] != "}":
+            subject = term()
+            if peek()[1] not in (".", "}"):
+                properties(subject)
+            if peek()[1] != "}":
+                take(".")
+        take("}")
+
     while peek()[0] != "end":
         kind, value = peek()
         if value.lower() in ("@prefix", "prefix"):
@@ -229,20 +241,34 @@ def parse_turtle(text: str, base: str | None = None) -> list[tuple[tuple, tuple,
             iris.set_base(take()[1][1:-1])
             if kind == "lang":
                 take(".")
+        elif value == "{":
+            graph()
         else:
-            properties(term())
+            if (kind, value.lower()) == ("word", "graph"):
+                take()
+            subject = term()
+            if peek()[1] == "{":
+                graph()
+                continue
+            # a blank node may have its properties inside only
+            if value != "[" or peek()[1] != ".":
+                properties(subject)
             take(".")
     return out
 
 
+#: Formats that are read whole on the driver.
+_DOCUMENTS = {".ttl": parse_turtle, ".n3": parse_turtle, ".trig": parse_turtle, ".rdf": parse_rdfxml, ".xml": parse_rdfxml, ".jsonld": parse_jsonld}
+
+
 def read_rdf(spark: SparkSession, path: str) -> DataFrame:
-    """s, p, o as TERM; N-Triples and N-Quads distributed, Turtle read on the driver."""
+    """s, p, o as TERM; N-Triples and N-Quads distributed, other formats read on the driver."""
     suffix = Path(path).suffix.lower()
     if suffix in (".nt", ".nq"):
         return read_ntriples(spark, path)
-    if suffix in (".ttl", ".n3"):
+    if suffix in _DOCUMENTS:
         schema = T.StructType([T.StructField(n, TERM) for n in "spo"])
-        return spark.createDataFrame(parse_turtle(Path(path).read_text(encoding="utf-8")), schema)
+        return spark.createDataFrame(_DOCUMENTS[suffix](Path(path).read_text(encoding="utf-8")), schema)
     raise PlanError(f"{suffix} files cannot be read")
 
 
