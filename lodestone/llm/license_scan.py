@@ -2,15 +2,19 @@
 
 1. Document frequencies of all template words over the whole corpus give IDF weights.
 2. Index: of every template the `RARE` words of highest IDF, with their positions.
-3. Every file looks up the `LOOKED_UP` index words of highest IDF that it holds.  Template
-   postings and file positions meet by relative position (file position minus template
-   position), so all hits of one copy of a notice share one offset.
-4. A template is found where, at one offset, a looked-up word stands and every word of the
-   mandatory key phrases stands in its place.  The score is the IDF share of the key and index words that stand there.
+3. Every file looks up all index words, and of a template whose index words are all outside
+   its key phrases also the rarest key word.  Template postings and file positions meet by
+   relative position (file position minus template position), so all hits of one copy of a
+   notice share one offset.
+4. A template is found where, at one offset, every word of the mandatory key phrases stands in
+   its place.  The score is the IDF share of the key and index words that stand there.
 
 The index is one row per template word, a bound that no corpus changes.  Copies of a notice
 anywhere in a text count; text of a single repeated licence word is aggregated, never paired.
 
+The SQL looks up only the `LOOKED_UP` index words of highest IDF of a file and wants one of them at
+the offset: on files with more index words it may miss labels that are found here.
+
 Defined results: null or empty text has no words, no labels and score 0; null doc_ids
 and repeated rows are scored each; other columns are ignored.
 """
@@ -111,13 +115,23 @@ def _index(idf: dict[str, float]) -> list[tuple[str, int, str, int, int, int, fl
     return rows
 
 
+def _looked_up(index: list[tuple[str, int, str, int, int, int, float, float]]) -> list[str]:
+    """The index words, and the rarest key word of each template without a key word among its own."""
+    words = {r[0] for r in index if r[5]}
+    for t in range(len(TEMPLATES)):
+        keys = [r for r in index if r[1] == t and r[4]]
+        if not any(r[5] for r in keys):
+            words.add(min(keys, key=lambda r: (-r[6], r[0]))[0])
+    return sorted(words)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Figures and labels of docs(doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = _idf(docs)
     index = _index(idf)
-    rare = sorted({r[0] for r in index if r[5]}, key=lambda w: (-idf[w], w))
+    looked_up = F.array(*(F.lit(w) for w in _looked_up(index)))
     needed = sorted({r[0] for r in index})
     postings = spark.createDataFrame(index, "word string, template int, label string, at int, bit long, rare int, weight double, total double")
     full = {t: sum(r[4] for r in index if r[1] == t) for t in range(len(TEMPLATES))}
@@ -126,10 +140,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     text = docs.select("doc_id", F.xxhash64("text").alias("key"), spaced(F.col("text")).alias("spaced"))
     text = text.withColumn("words", F.split(F.trim("spaced"), "  ", -1))
-    text = text.withColumn("looked_up", F.slice(F.array_intersect(F.array(*(F.lit(w) for w in rare)), "words"), 1, LOOKED_UP))
     wanted = F.array(*(F.lit(w) for w in needed))
     hits = F.when(
-        F.size("looked_up") > 0,
+        F.arrays_overlap(looked_up, "words"),
         F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.cast("int").alias("pos"))), lambda x: F.array_contains(wanted, x["word"])),
     )
     n_base, firsts, lasts, labels = F.lit(0).cast("long"), [], [], []
@@ -147,19 +160,18 @@ def scan(docs: DataFrame) -> DataFrame:
     figures = saved(
         text.select(
             "doc_id", "key", n_words.alias("n_words"), n_base.alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"),
-            F.array_sort(F.array_compact(F.array(*labels))).alias("base"), "looked_up", hits.alias("hits"),
+            F.array_sort(F.array_compact(F.array(*labels))).alias("base"), hits.alias("hits"),
         ),
         "licence-figures",
     )
-    placed = figures.where("size(hits) > 0").select("doc_id", "key", "looked_up", F.explode("hits").alias("h")).select("doc_id", "key", "looked_up", "h.word", "h.pos")
+    placed = figures.where("size(hits) > 0").select("doc_id", "key", F.explode("hits").alias("h")).select("doc_id", "key", "h.word", "h.pos")
     met = placed.join(F.broadcast(postings), "word").select(
         "doc_id", "key", "template", "label", "mask", "at", "bit", "weight", "total", (F.col("pos") - F.col("at")).alias("offset"),
-        F.when(F.array_contains("looked_up", F.col("word")), F.col("rare")).otherwise(0).alias("rare"),
     )
     found = (
         met.groupBy("doc_id", "key", "template", "label", "mask", "total", "offset")
-        .agg(F.bit_or("bit").alias("bits"), F.max("rare").alias("rare"), F.sum("weight").alias("got"), F.count_if(F.col("at") >= 0).alias("n"))
-        .where("bits = mask AND rare = 1")
+        .agg(F.bit_or("bit").alias("bits"), F.sum("weight").alias("got"))
+        .where("bits = mask")
         .groupBy("doc_id", "key").agg(F.collect_set("label").alias("own"), F.max(F.least(F.lit(1.0), F.col("got") / F.col("total"))).alias("share"))
     )
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.key").eqNullSafe(F.col("b.key"))

@@ -48,6 +48,20 @@ def test_edges(spark):
     assert sorted(result(m.scan(df)), key=key) == sorted(((d, brute(t)) for d, t in rows), key=key)
 
 
+def test_several_notices(spark):
+    notices = [notice for _, notice, _ in m.TEMPLATES]
+    texts = [" end ".join(notices), ". ".join(reversed(notices)), " x ".join(notices[i] for i in (2, 11, 13, 12)), *notices]
+    rows = [(i, f"{t} plain text") for i, t in enumerate(texts * 2)] + [(1000 + i, f"plain text {i}") for i in range(300)]
+    got = m.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(result(got)) == sorted((d, brute(t)) for d, t in rows)
+    assert brute(texts[0])[-1].count(",") == 16 and {r.score for r in got.where("doc_id = 0").collect()} == {1.0}
+
+
+def test_key_phrase_of_common_words(spark):
+    rows = [(i, "the mozilla public license v 2 0 alone") for i in range(40)] + [(100 + i, f"plain text {i}") for i in range(10)]
+    assert sorted(result(m.scan(spark.createDataFrame(rows, "doc_id long, text string")))) == sorted((d, brute(t)) for d, t in rows)
+
+
 def test_empty(spark):
     assert m.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
