@@ -8,7 +8,8 @@ the kind only: equal values have equal pseudonyms in every document, without any
 table or shuffle.
 
 Only rows with a digit reach the finders; all others pass unchanged.  Whole texts
-are searched.  Separators inside numbers are kept and do not change the pseudonym.
+are searched.  A card may stand beside further digits (security code, expiry) behind a space or
+hyphen.  Separators inside numbers are kept and do not change the pseudonym.
 
 Defined results: null text stays null; empty texts, repeated rows and extra columns pass
 through; a value may be its own pseudonym, with a chance of one in its domain's size.
@@ -226,7 +227,7 @@ _KINDS: tuple[tuple[str, str, Callable[[Feistel, str], str | None]], ...] = (
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _octets),
     ("social", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", _social),
     ("phone", r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,5}(?:[ .\-]\d{2,5}){1,4}(?!\d)|\+\d{8,15}(?!\d)|(?<![\d\-(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])", _phone),
-    ("card", r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])", _card),
+    ("card", r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)", _card),
 )
 KINDS = tuple(k for k, _, _ in _KINDS)
 _FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in _KINDS))
@@ -242,6 +243,9 @@ def pseudonymise(fe: Feistel, text: str) -> tuple[str, list[tuple[str, int, int]
         start, end = match.span("secret_v" if kind == "secret" else kind)
         old = text[start:end]
         new = _MAKERS[kind](fe, old)
+        if new is None and kind == "card" and (shorter := _card_within(fe, old)):
+            old, end = shorter, start + len(shorter)
+            new = _card(fe, old)
         if new is None:
             place = _next_place(text, match)
             continue
@@ -253,6 +257,27 @@ def pseudonymise(fe: Feistel, text: str) -> tuple[str, list[tuple[str, int, int]
     return "".join(out), spans
 
 
+#: Digits of each group of cards as usually written.
+_LAYOUTS = re.compile(r"1[3-9]|(?:4 ){3}[1-4]|(?:4 ){4}[1-3]|4 6 [45]")
+
+
+def _card_within(fe: Feistel, text: str) -> str | None:
+    """The card at the start of a refused run of digit groups, if no better one begins at a later group.
+
+    Cards end at group borders; usual layouts go before others, then the longest and the first.
+    """
+    groups = list(re.finditer(r"\d+", text))
+    best = None
+    for i, first in enumerate(groups):
+        for j in range(i, len(groups)):
+            value = text[first.start() : groups[j].end()]
+            if _card(fe, value) is not None:
+                layout = " ".join(str(len(g[0])) for g in groups[i : j + 1])
+                rank = (_LAYOUTS.fullmatch(layout) is not None, len(_only_digits(value)), -i)
+                best = max(best or (rank, i, value), (rank, i, value))
+    return best[2] if best and best[1] == 0 else None
+
+
 def _next_place(text: str, match: re.Match) -> int:
     """Behind the first run of letters and digits of a refused match: nothing inside it begins anew."""
     place = match.start() + 1
