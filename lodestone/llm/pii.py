@@ -7,7 +7,8 @@ format, so a card stays a valid card and a date a date.  The permutation depends
 the kind only: equal values have equal pseudonyms in every document, without any lookup
 table or shuffle.
 
-Only rows with a digit reach the finders; all others pass unchanged.  Whole texts
+Only rows with a digit, an @ or the first letters of a key or of a secret's name reach the
+finders; no finder can match in the others, which pass unchanged.  Whole texts
 are searched.  A card may stand beside further digits (security code, expiry) behind a space or
 hyphen.  Separators inside numbers are kept and do not change the pseudonym.
 
@@ -22,13 +23,11 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import textkernel as tk
-
 #: For tests and demonstrations; production passes a secret key.
 DEMO_KEY = b"lodestone-demonstration-key"
 ROUNDS = 8
@@ -230,8 +229,12 @@ _KINDS: tuple[tuple[str, str, Callable[[Feistel, str], str | None]], ...] = (
     ("card", r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)", _card),
 )
 KINDS = tuple(k for k, _, _ in _KINDS)
-_FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in _KINDS))
+#: Kinds of digits: only ASCII digits make their values.
+_NUMBERS = ("iban", "date", "ip", "social", "phone", "card")
+_FINDER = re.compile("|".join(f"(?P<{k}>(?a:{p}))" if k in _NUMBERS else f"(?P<{k}>{p})" for k, p, _ in _KINDS))
 _MAKERS = {k: f for k, _, f in _KINDS}
+#: What every match of a finder holds, for Arrow's regular expressions.
+_NEEDED = r"[0-9@]|(?i:token|passw|secret|api_?key)|AKIA|ASIA"
 
 
 def pseudonymise(fe: Feistel, text: str) -> tuple[str, list[tuple[str, int, int]]]:
@@ -289,17 +292,12 @@ def _next_place(text: str, match: re.Match) -> int:
 def _replace(key: bytes, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fe = Feistel(key)
-        digit = np.zeros(256, dtype=np.int64)
-        digit[48:58] = 1
         for batch in batches:
             column = batch.column("text")
-            raw, offsets = tk.string_buffer(column)
-            total = np.concatenate([[0], np.cumsum(digit[raw])]) if len(raw) < tk.CHUNK_BYTES else None
+            needed = pc.match_substring_regex(column, _NEEDED).to_pylist()
             texts, found = None, [[] for _ in range(batch.num_rows)]
             for i in range(batch.num_rows):
-                has = total[offsets[i + 1]] > total[offsets[i]] if total is not None else digit[raw[offsets[i] : offsets[i + 1]]].any()
-                # addresses need an @, all other values a digit
-                if has or 64 in raw[offsets[i] : offsets[i + 1]]:
+                if needed[i]:
                     new, spans = pseudonymise(fe, column[i].as_py())
                     if spans:
                         texts = texts if texts is not None else column.to_pylist()
