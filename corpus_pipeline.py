@@ -13,9 +13,13 @@ from lodestone.llm import mixing, ngram_join, packing, pii, quality_rules
 from lodestone.runtime import saved
 
 
+#: A line of more distinct documents of a host goes, however large the host is.
+MAX_DOCS = 100
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without lines that are frequent on their host."""
-    return quality_rules.clean(docs)
+    return quality_rules.clean(docs, max_docs=MAX_DOCS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 One pass over whole texts gives the base figures and a hash of every normalised
 line (ASCII lower case, white space collapsed).  Per host (column `source`) the distinct
 documents of each line are counted, documents with equal text once; lines of more
-than max(`min_docs`, `max_share` of the host's distinct documents) documents are removed.  A
+than max(`min_docs`, `max_share` of the host's distinct documents) documents are removed, and with
+`max_docs` those of more than max(`min_docs`, `max_docs`) however large the host is.  A
 document is rejected if a base rule fails, or if less than `min_left` of its words are left.
 
 The counts aggregate before each shuffle, so a line or host of a third of all rows
@@ -113,7 +114,7 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def judge(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1, min_left: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1, min_left: float = 0.5, max_docs: int | None = None) -> DataFrame:
     """One row per document of docs(doc_id, text, source): figures, removed lines and verdict."""
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64("text").alias("key"), "text"
@@ -121,11 +122,14 @@ def judge(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1, min_left:
     figures = saved(docs.mapInArrow(_figures, _FIGURES), "line-figures")
     hosts = figures.select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
     lines = figures.select("doc_id", "host", "key", F.explode("lines").alias("l")).select("doc_id", "host", "key", "l.line", "l.words")
+    often = F.col("n_seen") > F.col("n_docs") * max_share
+    if max_docs is not None:
+        often |= F.col("n_seen") > max_docs
     frequent = (
         lines.select("host", "line", "key").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_seen"))
         .where(F.col("n_seen") > min_docs)
         .join(hosts, "host")
-        .where(F.col("n_seen") > F.col("n_docs") * max_share)
+        .where(often)
         .select("host", "line")
     )
     # copies hold the same lines: one row per text and host joins, not one per copy

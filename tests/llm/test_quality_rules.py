@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
+
 from lodestone.llm import quality_rules as m
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,6 +69,14 @@ def test_clean_removes_lines(spark):
     assert m.clean(df).columns == df.columns and {r.text for r in m.clean(df, max_share=2.0).collect()} == {x[1] for x in given[:40]}
 
 
+def test_lines_of_large_hosts(spark):
+    given = [(i, f"a b c d e f g h i j k {i}\n" + ("Common line\n" if i < 120 else "Rarer line\n" if i < 220 else "") + f"l m n o p q {i}", "s") for i in range(1500)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string")
+    assert result(m.judge(docs)) == brute(given)
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert got == {d: t.replace("Common line\n", "") for d, t, _ in given}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert m.judge(df).count() == 0 and m.clean(df).count() == 0
