@@ -1,11 +1,12 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join with banded MinHash, in place of an LSH forest, and exact verification.
 
 1. Profile: texts with equal word sequences form one class.  A class has the set of its
    five-word shingles (a shorter text is one shingle) and, per tree of the forest, a signature
    of minima.
-2. Forest: a tree is the prefix trie of its signatures.  Matched prefixes start at the
-   longest and are shortened until the chance that two sets at the similarity `threshold` agree on
-   one in some tree reaches `target_recall`.  Classes below one trie node are candidates.
+2. Bands: a tree has one prefix length, the longest at which the chance that two sets at the
+   similarity `threshold` agree on one in some tree reaches `target_recall`; it is computed once.
+   No tries are sorted and no prefix is shortened by what it matches.  Classes with one prefix,
+   called a node below, are candidates.
 3. Groups: every trie node is led by its smallest class; classes of one leader meet once instead of
    once per tree.  A group is split into tiles, and pairs of tiles are spread over tasks, so a
    group of any size has bounded tasks.
