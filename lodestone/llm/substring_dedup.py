@@ -1,18 +1,18 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an indexed corpus.
+"""Substring dedup by chunk and window lookups, in place of relative Lempel-Ziv parsing.
 
-Every document is parsed relative to all documents with a smaller id.  The
+Every document is compared with all documents with a smaller id.  The
 reference is cut into content-defined blocks: the word window of `span` words
 picks as its anchor the smallest hash among the `ANCHOR`-word grams it holds, and
 consecutive windows with one anchor form one block of `span` to
 2 * `span` - `ANCHOR` words.  Equal passages are cut alike wherever they stand, so the
-block index answers "does this factor occur in an earlier document" with one
+block index answers "does this block occur in an earlier document" with one
 lookup per block instead of one per word.
 
 1. Index: per block hash (128 bits) the smallest doc_id; partial aggregation
    merges copies before the shuffle.
-2. Greedy factors: a block that occurs in a smaller doc_id extends the current
-   factor by all its windows; adjoining factors are duplicate spans.
-3. Factor boundaries: a block that is new, but whose anchor also stands in other
+2. Blocks: all windows of a block that occurs in a smaller doc_id are duplicates.  No
+   reference position is kept, so adjoining blocks may match different documents.
+3. Boundaries: a block that is new, but whose anchor also stands in other
    blocks, may share some windows with them.  Only there single windows (128-bit
    hashes) are looked up.
 
