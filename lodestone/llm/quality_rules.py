@@ -93,7 +93,7 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             repeated = _prefix(_repeated(words, words.hashes(0)))
             start, end, first, n, normal = line_hashes(words)
             row = np.searchsorted(offsets, start, side="right") - 1
-            exact = tk.mix(tk.spans_hash(tk._BYTES[raw], start, end, 1) + row.astype(tk.U64) * tk.U64(0x9E3779B97F4A7C15))
+            exact = tk.mix(tk.bytes_hash(raw, start, end, 1) + row.astype(tk.U64) * tk.U64(0x9E3779B97F4A7C15))
             _, once = np.unique(exact, return_index=True)
             per_row = np.bincount(row, minlength=part.num_rows)
             distinct = np.bincount(row[once], minlength=part.num_rows)

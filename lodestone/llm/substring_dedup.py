@@ -1,25 +1,25 @@
-"""Substring dedup by chunk and window lookups, in place of relative Lempel-Ziv parsing.
+"""Substring dedup by relative Lempel-Ziv parsing.
 
-Every document is compared with all documents with a smaller id.  The
+Every document is factored against all documents with a smaller id.  The
 reference is cut into content-defined blocks: the word window of `span` words
 picks as its anchor the smallest hash among the `ANCHOR`-word grams it holds, and
 consecutive windows with one anchor form one block of `span` to
-2 * `span` - `ANCHOR` words.  Equal passages are cut alike wherever they stand, so the
-block index answers "does this block occur in an earlier document" with one
-lookup per block instead of one per word.
-
-1. Index: per block hash (128 bits) the smallest doc_id; partial aggregation
-   merges copies before the shuffle.
-2. Blocks: all windows of a block that occurs in a smaller doc_id are duplicates.  No
-   reference position is kept, so adjoining blocks may match different documents.
-3. Boundaries: a block that is new, but whose anchor also stands in other
-   blocks, may share some windows with them.  Only there single windows (128-bit
-   hashes) are looked up.
+2 * `span` - `ANCHOR` words.  Equal passages are cut alike wherever they stand.
+
+1. Index: each distinct block (128-bit digest of its words) with its first place, that is the smallest
+   doc_id and there the first word; partial aggregation merges copies before the shuffle.
+2. Parse: a document looks all its blocks up at once.  From left to right a factor takes the next
+   block for as long as its place in the reference continues the factor's; then a new one begins.
+3. Factor boundaries: a new block whose anchor also stands in other blocks may share
+   some windows with them.  Only there single windows (digests again) are looked up, and they lengthen
+   the factors beside them or make factors of their own.
+4. Every factor has `span` words or more and becomes a duplicate span.
 
 Hot passages: every aggregation has a map-side part, and both lookups are plain
 equi-joins whose large partitions adaptive execution splits; no task gathers a
-group.  The result is exact: a word goes if and only if a window over it also
-starts in a document with a smaller doc_id, judged on the input.
+group.  A word goes if and only if a window over it also starts in a document with a
+smaller doc_id, judged on the input; digests are of the words themselves, so no texts but equal ones meet
+(chance of 2**-128 a pair).
 
 Defined results: null text has no words; a null doc_id neither is deduplicated nor
 serves as reference; rows that share a doc_id are no references for one another; texts
@@ -42,9 +42,13 @@ from lodestone.runtime import saved
 #: Words of an anchor gram; longer anchors make more blocks, shorter ones more boundary lookups.
 ANCHOR = 10
 
-_BLOCK = "s1 long, s2 long, anchor long, doc_id long, key long, first int, n_windows int"
-_WINDOW = "w1 long, w2 long, doc_id long, key long, first int"
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>, kept_text string"
+_BLOCK = "s1 long, s2 long, anchor long, doc_id long, key long, first int, n_windows int, place decimal(38,0)"
+_WINDOW = "s1 long, s2 long, doc_id long, key long, first int, place decimal(38,0)"
+_FACTOR = [("first", pa.int32()), ("n_words", pa.int32()), ("ref_doc", pa.int64()), ("ref_first", pa.int32())]
+_RESULT = (
+    "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>, "
+    "factors array<struct<first:int,n_words:int,ref_doc:bigint,ref_first:int>>, kept_text string"
+)
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,12 +77,18 @@ def _blocks(words: tk.Words, span: int) -> dict[str, np.ndarray]:
     n = np.diff(np.append(cut, len(window)))
     first = window[cut]
     last = first + n - 1 + span
-    lead = (at[cut] - first).astype(tk.U64)
-    one = tk.mix(tk.spans_hash(hashes, first, last, 2) + lead)
-    two = tk.mix(tk.spans_hash(words.hashes(3), first, last, 3) ^ lead)
+    one, two = words.digests(first, last)
     return {"s1": one, "s2": two, "anchor": gram[at[cut]], "row": row[cut], "first": first - words.rows[row[cut]], "n": n}
 
 
+def _places(doc_id: np.ndarray, first: np.ndarray) -> pa.Array:
+    """doc_id * 2**32 + first as decimals, so that the smallest is the first place."""
+    both = np.empty((len(doc_id), 2), dtype=np.int64)
+    both[:, 0] = (doc_id << 32) | first
+    both[:, 1] = doc_id >> 32
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(doc_id), [None, pa.py_buffer(both)])
+
+
 def _leftmost(gram: np.ndarray, window: np.ndarray, wide: int) -> np.ndarray:
     """Place of the leftmost smallest (by its high bits) of gram[window : window + wide]."""
     bits = tk.U64(26)
@@ -99,75 +109,81 @@ def _emit_blocks(span: int):
                 words = tk.Words(*tk.string_buffer(part.column("text")))
                 found = _blocks(words, span)
                 if found:
-                    ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                    keys = part.column("key").to_numpy(zero_copy_only=False)
+                    ids = part.column("doc_id").to_numpy(zero_copy_only=False)[found["row"]]
+                    keys = part.column("key").to_numpy(zero_copy_only=False)[found["row"]]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(tk.signed(found["s1"])),
                             pa.array(tk.signed(found["s2"])),
                             pa.array(tk.signed(found["anchor"])),
-                            pa.array(ids[found["row"]]),
-                            pa.array(keys[found["row"]]),
+                            pa.array(ids),
+                            pa.array(keys),
                             pa.array(found["first"].astype(np.int32)),
                             pa.array(found["n"].astype(np.int32)),
+                            _places(ids, found["first"]),
                         ],
-                        names=["s1", "s2", "anchor", "doc_id", "key", "first", "n_windows"],
+                        names=["s1", "s2", "anchor", "doc_id", "key", "first", "n_windows", "place"],
                     )
 
     return emit
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and lengths of a list column; null counts as empty."""
+def _lists(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Fields and lengths of a column of lists of structs; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return [x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten()], column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
 
 
 def _emit_windows(span: int):
-    """Hashes of the single windows of the boundary blocks."""
+    """Digests of the single windows of the boundary blocks."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.chunks(batch):
                 words = tk.Words(*tk.string_buffer(part.column("text")))
-                firsts, many = _lists(part.column("edge_first"))
-                lengths, _ = _lists(part.column("edge_n"))
+                (firsts, lengths), many = _lists(part.column("edges"))
                 row = np.repeat(np.repeat(np.arange(part.num_rows), many), lengths)
                 at = np.repeat(firsts, lengths) + tk.ragged(lengths)
                 start = words.rows[row] + at
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                keys = part.column("key").to_numpy(zero_copy_only=False)
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
+                keys = part.column("key").to_numpy(zero_copy_only=False)[row]
+                one, two = words.digests(start, start + span)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(tk.signed(tk.spans_hash(words.hashes(0), start, start + span, 2))),
-                        pa.array(tk.signed(tk.spans_hash(words.hashes(3), start, start + span, 3))),
-                        pa.array(ids[row]),
-                        pa.array(keys[row]),
-                        pa.array(at.astype(np.int32)),
-                    ],
-                    names=["w1", "w2", "doc_id", "key", "first"],
+                    [pa.array(tk.signed(one)), pa.array(tk.signed(two)), pa.array(ids), pa.array(keys), pa.array(at.astype(np.int32)), _places(ids, at)],
+                    names=["s1", "s2", "doc_id", "key", "first", "place"],
                 )
 
     return emit
 
 
+def _factors(part: pa.RecordBatch, span: int) -> tuple[np.ndarray, ...]:
+    """The greedy parse: row, first word, words, reference document and its first word of each factor."""
+    found = [_lists(part.column(name)) for name in ("full", "inner")]
+    row = np.concatenate([np.repeat(np.arange(part.num_rows), many) for _, many in found])
+    first, n, ref_doc, ref_first = (np.concatenate([fields[k] for fields, _ in found]).astype(np.int64) for k in range(4))
+    order = np.lexsort((first, row))
+    row, first, n, ref_doc, ref_first = (x[order] for x in (row, first, n, ref_doc, ref_first))
+    # a piece continues the factor before it if both places do; every piece is the first place of its words
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (first[1:] != first[:-1] + n[:-1]) | (ref_doc[1:] != ref_doc[:-1]) | (ref_first[1:] != ref_first[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    windows = np.add.reduceat(n, at) if len(at) else n
+    return row[at], first[at], windows - 1 + span, ref_doc[at], ref_first[at]
+
+
 def _cut(span: int, with_text: bool):
-    """Removes the covered words of each document and digests the rest."""
+    """Factors each document, removes the covered words and digests the rest."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.chunks(batch):
-                texts = part.column("text")
-                words = tk.Words(*tk.string_buffer(texts))
+                words = tk.Words(*tk.string_buffer(part.column("text")))
                 rows = words.rows
+                row, first, n, ref_doc, ref_first = _factors(part, span)
                 cover = np.zeros(len(words.start) + 1, dtype=np.int64)
-                for starts, sizes in (("full_first", "full_n"), ("edge_at", None)):
-                    first, many = _lists(part.column(starts))
-                    n = _lists(part.column(sizes))[0] if sizes else np.ones(len(first), dtype=np.int64)
-                    at = first + np.repeat(rows[:-1], many)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + n - 1 + span, -1)
+                np.add.at(cover, first + rows[row], 1)
+                np.add.at(cover, first + rows[row] + n, -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 removed = np.concatenate([[0], np.cumsum(gone)])
                 n_removed = removed[rows[1:]] - removed[rows[:-1]]
@@ -185,6 +201,8 @@ def _cut(span: int, with_text: bool):
                     kept = b" ".join(own)
                     digests.append(hashlib.sha256(kept).hexdigest())
                     kept_texts.append(kept.decode("utf-8", "replace") if with_text else None)
+                bounds = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+                factors = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip((first, n, ref_doc, ref_first), _FACTOR, strict=True)], [f for f, _ in _FACTOR])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
@@ -192,41 +210,48 @@ def _cut(span: int, with_text: bool):
                         pa.array(n_removed.astype(np.int64)),
                         pa.array(digests, pa.string()),
                         pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+                        pa.ListArray.from_arrays(bounds, factors),
                         pa.array(kept_texts, pa.string()),
                     ],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "factors", "kept_text"],
                 )
 
     return emit
 
 
 def remove_repeated_spans(docs: DataFrame, span: int = 50, with_text: bool = True) -> DataFrame:
-    """One row per document of docs(doc_id, text): word counts, removed spans, kept text and its digest."""
+    """One row per document of docs(doc_id, text): word counts, removed spans, factors, kept text and its digest.
+
+    A factor says that its words stand in document ref_doc from word ref_first on.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text"))
     blocks = docs.where("doc_id IS NOT NULL").mapInArrow(_emit_blocks(span), _BLOCK)
-    index = blocks.groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.first("anchor").alias("anchor")
-    )
+    ref_first = F.expr("CAST(place - CAST(ref_doc AS DECIMAL(38,0)) * 4294967296 AS INT)").alias("ref_first")
+    index = blocks.groupBy("s1", "s2").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last_doc"), F.first("anchor").alias("anchor"), F.min("place").alias("place"))
     shared = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_blocks")).where("n_blocks > 1").select("anchor", F.lit(True).alias("edge"))
-    index = index.join(shared, "anchor", "left").where("edge OR first_doc < last_doc").select("s1", "s2", "first_doc", "edge")
-    hits = blocks.join(index, ["s1", "s2"]).where("doc_id > first_doc OR edge")
+    index = index.join(shared, "anchor", "left").where("edge OR ref_doc < last_doc").select("s1", "s2", "ref_doc", ref_first, "edge")
+    hits = blocks.select("s1", "s2", "doc_id", "key", "first", "n_windows").join(index, ["s1", "s2"]).where("doc_id > ref_doc OR edge")
     per_doc = saved(
         hits.groupBy("doc_id", "key").agg(
-            F.collect_list(F.when(F.col("doc_id") > F.col("first_doc"), F.struct("first", "n_windows"))).alias("full"),
-            F.collect_list(F.when(F.col("doc_id") == F.col("first_doc"), F.struct("first", "n_windows"))).alias("edges"),
+            F.collect_list(F.when(F.col("doc_id") > F.col("ref_doc"), F.struct("first", "n_windows", "ref_doc", "ref_first"))).alias("full"),
+            F.collect_list(F.when(F.col("doc_id") == F.col("ref_doc"), F.struct("first", "n_windows"))).alias("edges"),
         ),
         "factors",
     )
     # both joins below need the texts dealt by document: the same filter and columns let Spark reuse that exchange
     named = docs.where("doc_id IS NOT NULL")
-    edges = named.join(per_doc.where("size(edges) > 0").select("doc_id", "key", F.col("edges.first").alias("edge_first"), F.col("edges.n_windows").alias("edge_n")), ["doc_id", "key"])
+    edges = named.join(per_doc.where("size(edges) > 0").select("doc_id", "key", "edges"), ["doc_id", "key"])
     windows = edges.mapInArrow(_emit_windows(span), _WINDOW)
-    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    inner = windows.join(earliest, ["w1", "w2"]).where("doc_id > first_doc").groupBy("doc_id", "key").agg(F.collect_set("first").alias("edge_at"))
-    full = per_doc.where("size(full) > 0").select("doc_id", "key", F.col("full.first").alias("full_first"), F.col("full.n_windows").alias("full_n"))
+    earliest = windows.groupBy("s1", "s2").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last_doc"), F.min("place").alias("place")).where("ref_doc < last_doc")
+    piece = F.struct("first", F.lit(1).alias("n_windows"), "ref_doc", "ref_first")
+    inner = (
+        windows.select("s1", "s2", "doc_id", "key", "first").join(earliest.select("s1", "s2", "ref_doc", ref_first), ["s1", "s2"]).where("doc_id > ref_doc")
+        .groupBy("doc_id", "key").agg(F.collect_set(piece).alias("inner"))
+    )
+    full = per_doc.where("size(full) > 0").select("doc_id", "key", "full")
     found = full.join(inner, ["doc_id", "key"], "full")
-    none = F.lit(None).cast("array<int>")
-    nameless = docs.where("doc_id IS NULL").select("doc_id", "key", "text", none.alias("full_first"), none.alias("full_n"), none.alias("edge_at"))
+    none = F.lit(None).cast(found.schema["full"].dataType)
+    nameless = docs.where("doc_id IS NULL").select("doc_id", "key", "text", none.alias("full"), none.alias("inner"))
     return named.join(found, ["doc_id", "key"], "left").unionByName(nameless).mapInArrow(_cut(span, with_text), _RESULT)
 
 

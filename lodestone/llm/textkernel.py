@@ -1,14 +1,16 @@
 """Vectorised text kernels shared by the training-data operators.
 
 Arrow string batches are handled as one byte buffer plus row offsets, so no
-Python string is made per word.  Hashes are polynomial prefix sums modulo 2**64
-followed by a bit mixer; they depend on content only, never on position, task or
-interpreter, so a lost task recomputes the same values.
+Python string is made per word.  Hashes chain or pair their input through a bit mixer;
+they depend on content only, never on position, task or interpreter, so a lost task
+recomputes the same values.  What must name a text or passage among all others has a
+cryptographic digest of its bytes instead.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +24,11 @@ CHUNK_BYTES = 1 << 19
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_BYTES = np.random.default_rng(20240607).integers(1, 2**63, size=256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, or the powers of its inverse."""
-    known = _powers.get((base, inverse))
-    if known is None or len(known) < n:
-        step = np.full(max(n, 1 << 16), pow(base, -1, 2**64) if inverse else base, dtype=U64)
-        step[0] = 1
-        known = np.multiply.accumulate(step)
-        _powers[base, inverse] = known
-    return known[:n]
+# Odd multipliers, one row for each independent hash.
+_ODD = np.random.default_rng(20240607).integers(1, 2**62, size=(4, 4), dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: Longer spans of bytes go to a cryptographic hash, one call each.
+LONG_SPAN = 1024
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,13 +40,82 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes at every place of raw (zeros behind its end) as an unaligned view."""
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def bytes_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """Hash of raw[start:end] for each pair; which picks an independent hash.
+
+    Eight bytes at a time go through the mixer, so no linear structure of a text (as of
+    a polynomial modulo 2**64) makes spans collide; spans of one length up to eight bytes never do.
+    """
+    n = end - start
+    odd = _ODD[which]
+    out = mix((n.astype(U64) + U64(1)) * odd[0])
+    long = np.flatnonzero(n > LONG_SPAN)
+    if len(long):
+        data = memoryview(np.ascontiguousarray(raw))
+        seed = odd[0].tobytes()
+        digests = b"".join([hashlib.blake2b(data[a:b], digest_size=8, key=seed).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)])
+        out[long] = np.frombuffer(digests, dtype="<u8")
+    eights = _eights(raw)
+    rows = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    at, left, state = start[rows], n[rows], out[rows]
+    while len(rows):
+        state = mix((state ^ (eights[at] & _KEEP[np.minimum(left, 8)])) * odd[1] + odd[2])
+        more = left > 8
+        if not more.all():
+            out[rows[~more]] = state[~more]
+            rows, at, left, state = rows[more], at[more], left[more], state[more]
+        at, left = at + 8, left - 8
+    return out
+
+
+def equal_bytes(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether a[a_start:a_end] equals b[b_start:b_end], for each pair of spans."""
+    n = a_end - a_start
+    out = n == b_end - b_start
+    for i in np.flatnonzero(out & (n > LONG_SPAN)):
+        out[i] = np.array_equal(a[a_start[i] : a_end[i]], b[b_start[i] : b_end[i]])
+    eights_a, eights_b = _eights(a), _eights(b)
+    rows = np.flatnonzero(out & (n > 0) & (n <= LONG_SPAN))
+    x, y, left = a_start[rows], b_start[rows], n[rows]
+    while len(rows):
+        same = ((eights_a[x] ^ eights_b[y]) & _KEEP[np.minimum(left, 8)]) == 0
+        out[rows[~same]] = False
+        more = same & (left > 8)
+        rows, x, y, left = rows[more], x[more] + 8, y[more] + 8, left[more] - 8
+    return out
+
+
 def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    """Hash of values[start:end] for each pair; which picks an independent hash."""
-    base = _BASES[which]
-    total = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * powers(base, len(values)), out=total[1:])
-    out = (total[end] - total[start]) * powers(base, len(values) + 1, inverse=True)[start]
-    return mix(out + (end - start).astype(U64) * U64(0x632BE59BD9B4E019))
+    """Hash of the sequence values[start:end] for each pair; which picks an independent hash.
+
+    A span is the sequence of its runs of 1, 2, 4 .. values by the binary digits of its length, and
+    a run hashes the pair of its halves; every step is non-linear.
+    """
+    n = end - start
+    odd = _ODD[which]
+    out = mix((n.astype(U64) + U64(1)) * odd[0])
+    longest = int(n.max()) if len(n) else 0
+    level, at, width = values * odd[3], start.copy(), 1
+    while width <= longest:
+        rows = np.flatnonzero(n & width)
+        if len(rows) == len(n):
+            out = mix((out ^ level[at]) * odd[1] + odd[2])
+            at += width
+        elif len(rows):
+            out[rows] = mix((out[rows] ^ level[at[rows]]) * odd[1] + odd[2])
+            at[rows] += width
+        if 2 * width <= longest:
+            level = level[:-width] * odd[1] + level[width:] * odd[2]
+            level ^= level >> U64(32)
+        width *= 2
+    return out
 
 
 def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +170,24 @@ class Words:
         self.rows = np.searchsorted(self.start, offsets)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return spans_hash(_BYTES[self.raw], self.start, self.end, which)
+        return bytes_hash(self.raw, self.start, self.end, which)
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit digests of the words first .. last - 1, each ended by one space, as two numbers."""
+        n = self.end - self.start
+        ends = np.cumsum(n + 1)
+        bounds = np.concatenate([[0], ends])
+        plain = np.full(bounds[-1], 0x20, dtype=np.uint8)
+        inside = np.ones(len(plain), dtype=bool)
+        inside[ends - 1] = False
+        mark = np.zeros(len(self.raw) + 1, dtype=np.int8)
+        mark[self.start] += 1
+        mark[self.end] -= 1
+        plain[inside] = self.raw[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
+        data, digest = memoryview(plain), hashlib.blake2b
+        both = b"".join([digest(data[a:b], digest_size=16).digest() for a, b in zip(bounds[first].tolist(), bounds[last].tolist(), strict=True)])
+        pairs = np.frombuffer(both, dtype="<u8").reshape(-1, 2)
+        return pairs[:, 0].copy(), pairs[:, 1].copy()
 
     def counts(self) -> np.ndarray:
         return np.diff(self.rows)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from lodestone.llm import packing as m
@@ -49,8 +50,6 @@ def test_edges(spark):
 def test_known_pieces_start_anew(spark, monkeypatch):
     monkeypatch.setattr(m, "REMEMBERED", 5)
     enc = m.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    import pyarrow as pa
-
     texts = [f"word{i} and {i * 7} more words" for i in range(50)]
     for i in range(0, 50, 10):
         ids, bounds = enc.rows(pa.array(texts[i : i + 10]))
@@ -58,5 +57,42 @@ def test_known_pieces_start_anew(spark, monkeypatch):
             assert list(ids[bounds[k] : bounds[k + 1]]) == enc.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def same_as_library(enc, texts):
+    ids, bounds = enc.rows(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        assert list(ids[bounds[k] : bounds[k + 1]]) == enc.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_pieces_of_like_structure():
+    enc = m.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [thue_morse(n) for n in (1024, 2048)]
+    same_as_library(enc, words + [w.translate(str.maketrans("ab", "ba")) for w in words])
+
+
+def test_colliding_hashes(monkeypatch):
+    """Pieces with one hash: in one chunk, and with a known piece of an earlier one."""
+    whole = m.tk.bytes_hash
+    monkeypatch.setattr(m.tk, "bytes_hash", lambda *a: whole(*a) % m.tk.U64(5))
+    enc = m.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for part in (["one two three four", "one", None, "two two"], ["five six", "one", "seven eight nine ten", ""]):
+        same_as_library(enc, part)
+
+
+def test_every_character_of_the_first_plane():
+    enc = m.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    codes = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    same_as_library(enc, ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}{chr(c)}. " for c in codes[i : i + 64]) for i in range(0, len(codes), 64)])
+
+
+def test_other_vocabularies(spark):
+    """Another split goes to the library whole."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    same_as_library(m.Encoder(path), ["Some words, 12 of them.", "  X\n\ny ", None, "it's"])
+
+
 def test_empty(spark):
     assert m.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -37,6 +37,59 @@ def test_whole_table(spark, sf):
     assert result(m.query(spark, sf)) == brute(rows, 50)
 
 
+def check_factors(df, rows, span):
+    """Factors cover the removed words, stand in their references and cannot be longer there."""
+    words = {d: WORD.findall(t) for d, t in rows}
+    n = 0
+    for r in df.collect():
+        own, at = words[r.doc_id], -1
+        for first, many, ref, ref_first in r.factors:
+            assert many >= span and first > at and ref < r.doc_id
+            assert own[first : first + many] == words[ref][ref_first : ref_first + many]
+            at = first
+            n += 1
+        assert {i for f in r.factors for i in range(f.first, f.first + f.n_words)} == {i for s in r.spans for i in range(s.first, s.last + 1)}
+        assert len(own) - len(r.kept_text.split()) == r.n_removed
+        # a factor ends where its words cease to stand in any first place that continues it
+        for a, b in zip(r.factors, r.factors[1:]):
+            continued = b.first == a.first + a.n_words - span + 1 and (b.ref_doc, b.ref_first) == (a.ref_doc, a.ref_first + a.n_words - span + 1)
+            assert not continued
+    return n
+
+
+def test_factors(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    rows = [(1, " ".join(base[:900])), (2, " ".join(base[600:1500]))]
+    rows += [(10 + i, " ".join(base[i * 40 : i * 40 + 300] + [f"own{i}"] + base[1000 + i * 20 : 1200 + i * 20])) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for span in (8, 50):
+        out = m.remove_repeated_spans(df, span=span)
+        assert check_factors(out, rows, span) > 20
+        assert result(out) == brute(rows, span)
+    one = {r.doc_id: r for r in m.remove_repeated_spans(df, span=50).collect()}[10]
+    # the first 300 words are one greedy factor in document 1
+    assert tuple(one.factors[0]) == (0, 300, 1, 0)
+
+
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_passages_of_like_structure(spark):
+    """Thue-Morse sequences and their complements share no long passage by any hash."""
+    rows, d = [], 0
+    for n in (1024, 2048):
+        for flip in (0, 1):
+            letters = "".join("ab"[x ^ flip] for x in thue_morse(n))
+            for text in (" ".join(f"v{d}{i}" for i in range(60)) + " " + letters, " ".join("x y".split()[x ^ flip] * 40 for x in thue_morse(n))):
+                rows.append((d, text))
+                d += 1
+    rows += [(90 + i, " ".join(["pq"[x ^ i] for x in thue_morse(64)])) for i in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(m.remove_repeated_spans(df)) == brute(rows, 50)
+
+
 def test_edges(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(40)}" for _ in range(300)]
