@@ -2,21 +2,23 @@
 
 Two views of a document are learnt apart: its content (hashed words and text statistics) and its
 page metadata (source, language, size, compressed size, line layout).  In every round
-each view labels the pool rows that it is surest of, and these pseudo-labels join the training set
-of the other view.  Both views are then calibrated on labelled rows that neither has seen, and a
-weighted mean of their calibrated log odds scores all documents in one pass.
+each view scores all unlabelled documents in one distributed pass, and the rows that it is surest of join, as
+pseudo-labels, the training set of the other view.  Both views are then calibrated on labelled rows that neither
+has seen, and a weighted mean of their calibrated log odds scores all documents in one pass.
 
-Fitting uses a bounded sample of labelled rows and a bounded pool; scoring covers every row.
+Fitting uses samples bounded in rows and bytes: labelled rows, and of each round the surest rows of each class
+and view among all unlabelled documents, found by a distributed top-k.
 
 Defined results: null text is empty; null source or language is its own value; labels with
 nulls are ignored, of repeated labels the smaller counts; without labels of both classes every score is the
-share of class 1 (0.5 if there is none); null or repeated doc_ids are scored each.
+share of class 1 (0.5 if there is none); null or repeated doc_ids are scored each, a null one gives no
+pseudo-label.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,12 +28,14 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import linear
 from lodestone.llm import textkernel as tk
-
-#: Rows at most: labelled of each class, and of the unlabelled pool.
-MAX_LABELLED, MAX_POOL = 2000, 4000
-ROUNDS = 4
-#: Share of the pool that a view labels per round, split by the class shares.
-SHARE = 0.1
+from lodestone.llm.sampling import bounded_rows
+from lodestone.runtime import saved
+
+#: Labelled rows of each class at most.
+MAX_LABELLED = 2000
+ROUNDS = 3
+#: Pseudo-labels that a view gives per round, split by the class shares: a share of all unlabelled documents, and at most.
+SHARE, PER_ROUND = 0.05, 400
 CUT = 0.4
 
 _SOURCES = 64
@@ -102,44 +106,41 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-np.clip(v, -40, 40))) for v in (both_views, z[0], z[1]))
 
 
-def fit(both: tuple[linear.Texts, linear.Texts], y: np.ndarray, held: np.ndarray, pool: tuple[linear.Texts, linear.Texts], rounds: int = ROUNDS) -> CoTrained:
-    """Co-train on labelled rows that are not held, with a pool of unlabelled rows."""
+Views = tuple[linear.Texts, linear.Texts]
+#: Given the two models, the rows each view is surest of: per view (its rows as views, their classes).
+Surest = Callable[[tuple[linear.Softmax, linear.Softmax]], list[tuple[Views, np.ndarray]]]
+
+
+def fit(both: Views, y: np.ndarray, held: np.ndarray, surest: Surest, rounds: int = ROUNDS) -> CoTrained:
+    """Co-train on labelled rows that are not held, with the pseudo-labels that `surest` finds each round."""
     prior = float(y.mean()) if len(y) else 0.5
     train = np.flatnonzero(~held)
     if not len(train) or len(set(y[train].tolist())) < 2:
         return CoTrained(None, prior=prior)
     sets = [(both[v].take(train), y[train]) for v in (0, 1)]
-    free = np.ones(len(pool[0]), dtype=bool)
-    exchanged, models = [], [None, None]
+    exchanged, models = [], None
     for turn in range(rounds + 1):
-        models = [linear.fit(x, t, 2, with_words=v == 0) for v, (x, t) in enumerate(sets)]
-        if turn == rounds or not free.any():
+        models = tuple(linear.fit(x, t, 2, with_words=v == 0) for v, (x, t) in enumerate(sets))
+        if turn == rounds:
             break
-        given = [[], []]
-        for v in (0, 1):
-            at = np.flatnonzero(free)
-            z = log_odds(models[v], pool[v].take(at))
-            order = at[np.argsort(z, kind="stable")]
-            many = max(1, int(SHARE * len(pool[0]) / 2))
-            low, high = max(1, int(many * (1 - prior))), max(1, int(many * prior))
-            sure = [(i, 0) for i in order[:low] if z[np.searchsorted(at, i)] < 0] + [(i, 1) for i in order[::-1][:high] if z[np.searchsorted(at, i)] > 0]
-            given[1 - v] = sure
-            free[[i for i, _ in sure]] = False
-        exchanged.append(len(given[0]) + len(given[1]))
-        for v in (0, 1):
-            if given[v]:
-                rows = np.array([i for i, _ in given[v]])
-                sets[v] = (linear.join_texts([sets[v][0], pool[v].take(rows)]), np.concatenate([sets[v][1], [c for _, c in given[v]]]))
+        given = surest(models)
+        exchanged.append(sum(len(t) for _, t in given))
+        if not exchanged[-1]:
+            break
+        for v, (rows, t) in enumerate(given):
+            if len(t):
+                other = 1 - v
+                sets[other] = (linear.join_texts([sets[other][0], rows[other]]), np.concatenate([sets[other][1], t]))
     check = np.flatnonzero(held)
     if not len(check) or len(set(y[check].tolist())) < 2:
         check = train
     odds = [log_odds(m, both[v].take(check)) for v, m in enumerate(models)]
     scaling = tuple(calibrate(z, y[check]) for z in odds)
     weight = balance([z * a + b for z, (a, b) in zip(odds, scaling, strict=True)], y[check])
-    return CoTrained(tuple(models), scaling, weight, prior, tuple(exchanged))
+    return CoTrained(models, scaling, weight, prior, tuple(exchanged))
 
 
-def _read(rows: pa.Table) -> tuple[linear.Texts, linear.Texts]:
+def _read(rows: pa.Table) -> Views:
     parts = [views(p) for b in rows.combine_chunks().to_batches() for p in tk.chunks(b)]
     if not parts:
         none = pa.array([], pa.string())
@@ -151,6 +152,47 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
 
 
+def _odds(models: tuple[linear.Softmax, linear.Softmax]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.chunks(batch):
+                z = [log_odds(m, x) for m, x in zip(models, views(part), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.float64()) for x in z)], names=["doc_id", "z0", "z1"])
+
+    return run
+
+
+def _chooser(free: DataFrame, prior: float) -> Surest:
+    """Scores all of free(doc_id, ..) each round; a document gives its pseudo-label once."""
+    spark, used = free.sparkSession, []
+
+    def surest(models: tuple[linear.Softmax, linear.Softmax]) -> list[tuple[Views, np.ndarray]]:
+        odds = saved(free.mapInArrow(_odds(models), "doc_id long, z0 double, z1 double").groupBy("doc_id").agg(F.min("z0").alias("z0"), F.min("z1").alias("z1")), "odds")
+        each = min(PER_ROUND, SHARE * odds.count())
+        many = {0: max(1, round(each * (1 - prior))), 1: max(1, round(each * prior))}
+        # bounded: PER_ROUND labels of two views in each round
+        odds = odds.join(F.broadcast(spark.createDataFrame([(d,) for d in used], "doc_id long")), "doc_id", "left_anti")
+        found = None
+        for v in (0, 1):
+            z = F.col(f"z{v}")
+            for c in (0, 1):
+                part = odds.where(z > 0 if c else z < 0).orderBy(z.desc() if c else z.asc(), "doc_id").limit(many[c]).select("doc_id", F.lit(v).alias("view"), F.lit(c).alias("quality"))
+                found = part if found is None else found.unionByName(part)
+        rows = found.collect()
+        # a row of which both views are sure teaches each the other's verdict
+        used.extend({r.doc_id for r in rows})
+        texts = bounded_rows(free, spark.createDataFrame([(d,) for d in sorted({r.doc_id for r in rows})], "doc_id long"))
+        where = {d: i for i, d in enumerate(texts.column("doc_id").to_pylist())}
+        both, out = _read(texts), []
+        for v in (0, 1):
+            own = sorted((where[r.doc_id], r.quality) for r in rows if r.view == v and r.doc_id in where)
+            at = np.array([i for i, _ in own], dtype=np.int64)
+            out.append((tuple(x.take(at) for x in both), np.array([c for _, c in own], dtype=np.int64)))
+        return out
+
+    return surest
+
+
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     docs = _plain(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -158,15 +200,11 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     for value in (0, 1):
         part = known.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
         chosen = part if chosen is None else chosen.unionByName(part)
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(F.xxhash64(F.lit("pool"), "doc_id"), "doc_id").limit(MAX_POOL)
-    # both sides are bounded by the limits above
-    wanted = chosen.unionByName(pool.select("doc_id", F.lit(-1).alias("quality")))
-    rows = docs.join(F.broadcast(wanted), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    rows = bounded_rows(docs, chosen)
     quality = rows.column("quality").to_numpy().astype(np.int64)
-    labelled, free = rows.filter(pa.array(quality >= 0)), rows.filter(pa.array(quality < 0))
-    held = tk.mix(labelled.column("doc_id").to_numpy().astype(np.int64).view(tk.U64)) % tk.U64(4) == 0
-    return fit(_read(labelled), quality[quality >= 0], held, _read(free))
+    held = tk.mix(rows.column("doc_id").to_numpy().astype(np.int64).view(tk.U64)) % tk.U64(4) == 0
+    free = docs.where("doc_id IS NOT NULL").join(known.select("doc_id"), "doc_id", "left_anti")
+    return fit(_read(rows), quality, held, _chooser(free, float(quality.mean()) if len(quality) else 0.5))
 
 
 def _score(model: CoTrained):

@@ -7,7 +7,8 @@
    to the targets, starting from rate 1 (the input as it is).  In the metric of a document's tokens
    the step is x <- max(0, x - sum_k posterior_k * (total_k - target_k) / base_k), which cannot overshoot.
 3. Every step is one distributed sum of a few numbers.  The driver keeps only the residuals of
-   the steps, from which tasks rebuild any document's rate; no table is rewritten.
+   the steps, from which tasks rebuild any document's rate; no table is rewritten.  Steps go on until
+   the targets are met or no total moves any more.
 
 Rates become whole copies by a hash of doc_id: the floor, and one more with the
 chance of the rest.
@@ -19,6 +20,7 @@ proportions; null doc_ids and repeated rows get rates each.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import linear
 from lodestone.llm import textkernel as tk
+from lodestone.llm.sampling import bounded_rows, quoted, unused
 from lodestone.runtime import saved
 
 DOMAINS = ("clean", "low", "toxic")
@@ -36,7 +39,8 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
 #: Labelled rows of each domain that the classifier is fitted on, at most.
 MAX_PER_DOMAIN = 2500
-STEPS, TOLERANCE = 60, 1e-6
+#: Steps end where every domain is this near to its target, or where no total moves any more; they are an error beyond MAX_STEPS.
+TOLERANCE, STILL, MAX_STEPS = 1e-6, 1e-9, 1000
 
 _MEMBERS = "doc_id long, key long, n_tokens long, posteriors array<double>"
 
@@ -72,8 +76,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Membership:
     for k in range(len(DOMAINS)):
         part = known.where(F.col("domain") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_DOMAIN)
         chosen = part if chosen is None else chosen.unionByName(part)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain").toArrow().sort_by("doc_id")
+    rows = bounded_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen)
     y = rows.column("domain").to_numpy().astype(np.int64)
     parts = [linear.read(p.column("text")) for b in rows.combine_chunks().to_batches() for p in tk.chunks(b)]
     x = linear.join_texts(parts or [linear.read(pa.array([], pa.string()))])
@@ -145,34 +148,62 @@ def solve(members: DataFrame, targets: dict[str, float]) -> tuple[list[np.ndarra
     share = np.array([targets.get(d, 0.0) for d in DOMAINS]) * there
     goal = base.sum() * share / share.sum() if share.sum() else base
     steps: list[np.ndarray] = []
-    now = base
-    while len(steps) < STEPS and there.any():
+    now, moved = base, np.inf
+    while there.any():
         gap = np.where(there, (now - goal) / np.where(there, base, 1), 0.0)
-        if np.abs(gap).max() < TOLERANCE:
+        if np.abs(gap).max() < TOLERANCE or moved < STILL:
             break
+        if len(steps) == MAX_STEPS:
+            raise RuntimeError(f"the totals {now.tolist()} still move towards {goal.tolist()} after {MAX_STEPS} steps")
         steps.append(gap)
-        now = total(steps)
+        before, now = now, total(steps)
+        moved = float(np.abs(np.where(there, (now - before) / np.where(there, base, 1), 0.0)).max())
     return steps, now, goal
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Posteriors, rate and whole copies of every row of docs(doc_id, text)."""
+@dataclass
+class Totals:
+    """Expected tokens of each domain: of the input's targets, and as the rates have them."""
+
+    goal: dict[str, float]
+    reached: dict[str, float]
+    steps: int
+
+    @property
+    def missed(self) -> float:
+        """Largest difference of a domain as a share of all tokens; above TOLERANCE only where no rates can meet the targets."""
+        return max(abs(self.goal[d] - self.reached[d]) for d in DOMAINS) / max(1.0, sum(self.goal.values()))
+
+
+def mix_with_totals(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, Totals]:
+    """Posteriors, rate and whole copies of every row of docs(doc_id, text), and the totals that the rates reach."""
     model = train(docs, labels)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     members = saved(plain.mapInArrow(_posteriors(model), _MEMBERS), "members")
-    steps, _, _ = solve(members, targets or TARGETS)
+    steps, now, goal = solve(members, targets or TARGETS)
     rated = members.mapInArrow(_with_rates(steps), f"{_MEMBERS}, rate double")
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "key"), F.lit(1 << 20)) / float(1 << 20)
     copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
-    return rated.withColumn("copies", copies)
+    totals = Totals(*(dict(zip(DOMAINS, x.tolist(), strict=True)) for x in (goal, now)), len(steps))
+    return rated.withColumn("copies", copies), totals
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """Posteriors, rate and whole copies of every row of docs(doc_id, text); warns if the targets cannot be met."""
+    rated, totals = mix_with_totals(docs, labels, targets)
+    if totals.missed > 10 * TOLERANCE:
+        warnings.warn(f"no rates meet the targets {totals.goal}; reached {totals.reached}", stacklevel=2)
+    return rated
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs with every row as often as its copies say; columns as given."""
-    rated = mix(docs, labels, targets).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("copies").cast("int").alias("__copies")).dropDuplicates(["__id", "__key"])
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    often = docs.join(rated.where("__copies > 0"), own)
-    return often.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    names = docs.columns
+    own_id, own_key, copies, copy = (unused(names, n) for n in ("__id", "__key", "__copies", "__copy"))
+    rated = mix(docs, labels, targets).select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("copies").cast("int").alias(copies)).dropDuplicates([own_id, own_key])
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key))
+    often = docs.join(rated.where(F.col(copies) > 0), own)
+    return often.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*map(quoted, names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

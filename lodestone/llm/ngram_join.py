@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import textkernel as tk
 from lodestone.llm.components import components
+from lodestone.llm.sampling import quoted, unused
 from lodestone.runtime import saved
 
 SHINGLE = 5
@@ -264,10 +265,12 @@ def join(docs: DataFrame, threshold: float = 0.8, trees: int = 32, target_recall
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, once; columns as given."""
-    kept = join(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    # repeated rows of a kept document: the smallest by (doc_id, text) stays; rows without id stay
-    rows = docs.join(kept, own).drop("__id", "__key")
+    names = docs.columns
+    own_id, own_key = unused(names, "__id"), unused(names, "__key")
+    kept = join(docs, **options).where("kept").select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key)).distinct()
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key))
+    # repeated rows of a kept document: one of them stays; rows without id stay
+    rows = docs.join(kept, own).select(*map(quoted, names))
     return rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id IS NULL"))
 
 

@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.sampling import column, quoted, unused
+
 #: For tests and demonstrations; production passes a secret key.
 DEMO_KEY = b"lodestone-demonstration-key"
 ROUNDS = 8
@@ -289,7 +291,7 @@ def _next_place(text: str, match: re.Match) -> int:
     return place
 
 
-def _replace(key: bytes, names: list[str]):
+def _replace(key: bytes, names: list[str], spans_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fe = Feistel(key)
         for batch in batches:
@@ -305,24 +307,33 @@ def _replace(key: bytes, names: list[str]):
                         found[i] = [{"kind": k, "first": a, "length": n} for k, a, n in spans]
             spans = pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("length", pa.int32())])))
             columns = [(column if texts is None else pa.array(texts, pa.string())) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, spans], names=[*names, "__pii_spans"])
+            yield pa.RecordBatch.from_arrays([*columns, spans], names=[*names, spans_name])
 
     return run
 
 
-def replace_pii(docs: DataFrame, key: bytes = DEMO_KEY, spans_as: str | None = "pii_spans") -> DataFrame:
-    """docs with pseudonyms in text, its length in n_chars if there, and the spans as a further column."""
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.mapInArrow(_replace(key, docs.columns), f"{fields}, __pii_spans array<struct<kind:string,first:int,length:int>>")
-    if "n_chars" in docs.columns:
-        changed = F.when(F.size("__pii_spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
+def session_key(spark) -> bytes:
+    """The secret in the session's `lodestone.pii.key`; the demonstration key where it is unset, as in tests."""
+    named = spark.conf.get("lodestone.pii.key", None)
+    return named.encode() if named else DEMO_KEY
+
+
+def replace_pii(docs: DataFrame, key: bytes, spans_as: str | None = "pii_spans") -> DataFrame:
+    """docs with pseudonyms in text, its length in n_chars if there, and the spans as a last column.
+
+    The spans have the name `spans_as`, with underscores before it if the input has a column of that name.
+    """
+    names = docs.columns
+    spans = unused(names, spans_as or "__pii_spans")
+    fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = docs.mapInArrow(_replace(key, names, spans), f"{fields}, {quoted(spans)} array<struct<kind:string,first:int,length:int>>")
+    if "n_chars" in names:
+        changed = F.when(F.size(column(spans)) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", changed.otherwise(F.col("n_chars")))
-    if spans_as is None:
-        return out.drop("__pii_spans")
-    return out.withColumnRenamed("__pii_spans", spans_as)
+    return out if spans_as else out.drop(column(spans))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = replace_pii(docs)
+    found = replace_pii(docs, session_key(spark))
     return found.selectExpr("doc_id", "text", "cast(size(pii_spans) AS long) AS n_pii", "array_join(array_sort(array_distinct(pii_spans.kind)), ',') AS kinds")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkernel as tk
+from lodestone.llm.sampling import quoted, unused
 from lodestone.runtime import saved
 
 SYMBOLS = b"#*$%&|<>"
@@ -153,51 +154,51 @@ def judge(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1, min_left:
     return judged.withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * min_left))
 
 
-def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops each row's removed lines from its text."""
-    for batch in batches:
-        for part in tk.chunks(batch):
-            removed = part.column("removed_lines").to_pylist()
-            column = part.column("text")
-            if any(removed):
-                words = tk.Words(*tk.string_buffer(column))
+def _without_lines(mark: str):
+    """Drops each row's lines listed in column `mark` from its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.chunks(batch):
+                removed = part.column(mark).to_pylist()
+                words = tk.Words(*tk.string_buffer(part.column("text")))
                 start, end, _, _, normal = line_hashes(words)
                 row = np.searchsorted(words.offsets, start, side="right") - 1
-                texts = column.to_pylist()
+                texts = part.column("text").to_pylist()
                 raw = words.raw.tobytes()
                 by_row = np.searchsorted(row, np.arange(part.num_rows + 1))
                 for i, lines in enumerate(removed):
-                    if lines:
-                        own = slice(by_row[i], by_row[i + 1])
-                        drop = np.isin(tk.signed(normal[own]), np.array(lines, dtype=np.int64))
-                        kept, at = [], int(words.offsets[i])
-                        for a, b in zip(start[own][drop], end[own][drop], strict=True):
-                            kept.append(raw[at:a])
-                            at = int(min(b + 1, words.offsets[i + 1]))
-                        kept.append(raw[at : words.offsets[i + 1]])
-                        texts[i] = b"".join(kept).decode("utf-8", "replace")
-                column = pa.array(texts, pa.string())
-            names = [n for n in part.schema.names if n not in ("text", "removed_lines")]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), column], names=[*names, "text"])
+                    own = slice(by_row[i], by_row[i + 1])
+                    drop = np.isin(tk.signed(normal[own]), np.array(lines, dtype=np.int64))
+                    kept, at = [], int(words.offsets[i])
+                    for a, b in zip(start[own][drop], end[own][drop], strict=True):
+                        kept.append(raw[at:a])
+                        at = int(min(b + 1, words.offsets[i + 1]))
+                    kept.append(raw[at : words.offsets[i + 1]])
+                    texts[i] = b"".join(kept).decode("utf-8", "replace")
+                columns = {**dict(zip(part.schema.names, part.columns, strict=True)), "text": pa.array(texts, pa.string())}
+                names = [n for n in part.schema.names if n != mark]
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return run
 
 
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The kept documents with their frequent lines removed; columns as given."""
+    names = docs.columns
+    own_id, own_key, own_host, mark = (unused(names, n) for n in ("__id", "__key", "__host", "removed_lines"))
     verdict = judge(docs, **limits).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("host").alias("__host"), "removed_lines"
-    ).dropDuplicates(["__id", "__key", "__host"])
-    named = docs.select(*docs.columns)
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    own &= F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__host")
-    kept = named.join(verdict, own).drop("__id", "__key", "__host")
-    plain = kept.where("size(removed_lines) = 0").drop("removed_lines")
-    order = [c for c in docs.columns if c != "text"]
-    edited = kept.where("size(removed_lines) > 0").select(*order, "text", "removed_lines")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    edited = edited.mapInArrow(_without_lines, f"{fields}, text string")
-    if "n_chars" in docs.columns:
+        F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("host").alias(own_host), F.col("removed_lines").alias(mark)
+    ).dropDuplicates([own_id, own_key, own_host])
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key))
+    own &= F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(own_host)
+    kept = docs.join(verdict, own).select(*map(quoted, names), mark)
+    plain = kept.where(F.size(mark) == 0).drop(mark)
+    fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    edited = kept.where(F.size(mark) > 0).mapInArrow(_without_lines(mark), fields)
+    if "n_chars" in names:
         edited = edited.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(edited.select(*docs.columns))
+    return plain.unionByName(edited)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def test_values_without_digits(spark):
 def test_edges(spark):
     rows = [(1, None, None), (None, "", 2), (3, "a@b.co", 1), (3, "a@b.co", 1), (4, "x" * 100_000 + " 4539148803436467", 1), (5, "9" * 50_000, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii_spans int").withColumnRenamed("pii_spans", "kind")
-    got = sorted(m.replace_pii(df).collect(), key=str)
+    got = sorted(m.replace_pii(df, b"k").collect(), key=str)
     assert len(got) == 6 and sum(bool(r.pii_spans) for r in got) == 3
-    assert m.replace_pii(df, spans_as=None).columns == df.columns
-    assert m.replace_pii(df.limit(0)).collect() == []
+    assert m.replace_pii(df, b"k", spans_as=None).columns == df.columns
+    assert m.replace_pii(df.limit(0), b"k").collect() == []
