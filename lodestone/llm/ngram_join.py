@@ -1,26 +1,30 @@
-"""N-gram Jaccard self-join with banded MinHash, in place of an LSH forest, and exact verification.
-
-1. Profile: texts with equal word sequences form one class.  A class has the set of its
-   five-word shingles (a shorter text is one shingle) and, per tree of the forest, a signature
-   of minima.
-2. Bands: a tree has one prefix length, the longest at which the chance that two sets at the
-   similarity `threshold` agree on one in some tree reaches `target_recall`; it is computed once.
-   No tries are sorted and no prefix is shortened by what it matches.  Classes with one prefix,
-   called a node below, are candidates.
-3. Groups: every trie node is led by its smallest class; classes of one leader meet once instead of
+"""N-gram Jaccard self-join by a MinHash LSH forest and exact verification.
+
+1. Profile: texts with equal word sequences (128-bit digests) form one class.  A class has the set of its
+   five-word shingles (a shorter text is one shingle) and, per tree of the forest, a signature: a path of
+   minima.  The signatures of a tree are a prefix trie; a node is a prefix.
+2. Descent: prefixes begin at `longest` minima.  Classes that share a node are candidates.
+3. Groups: every node is led by its smallest class; classes of one leader meet once instead of
    once per tree.  A group is split into tiles, and pairs of tiles are spread over tasks, so a
    group of any size has bounded tasks.
 4. Verification: a task intersects whole shingle sets of its tiles (64-bit shingles).  A pair is counted
    in the group of its smallest common leader only; tasks emit counts per class and a local spanning
    forest, never the pairs.
-5. Components of the forest edges give the class ids.
+5. Recall: the trees are independent captures of one pair, so the linked pairs that one tree and that two trees
+   have at this length tell how many none has (Chao's estimate).  While the recall measured so is
+   below `target_recall`, every prefix is shortened by one minimum and the join goes on with the shorter prefixes.
+6. Components of the forest edges give the class ids.
+
+At 40 trees and 7 minima a pair at a similarity of exactly 0.8 is missed with a chance of 8e-5, one at 0.85 of
+2e-7.
 
 Result: one row per document: class_id, the smallest doc_id reachable by links, itself included;
 n_links, the other documents linked directly, copies included; text_id, the smallest doc_id with the
 same words; kept, whether doc_id is class_id.
 
 Defined results: a text without words (or null) links with nothing and is its own class; a
-null doc_id has null ids, no links and is kept; rows sharing a doc_id count as one document; other columns are ignored.
+null doc_id has null ids, no links and is kept; rows sharing a doc_id count as one document, and of its texts
+the one with the smallest hash meets others than its copies; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,20 +42,19 @@ from lodestone.llm.sampling import quoted, unused
 from lodestone.runtime import saved
 
 SHINGLE = 5
-LONGEST_PREFIX = 8
+TREES, LONGEST = 40, 7
 #: Classes and shingles of a tile; two tiles meet in one task at a time.
-TILE_ROWS, TILE_SHINGLES = 256, 400_000
+TILE_ROWS, TILE_SHINGLES = 128, 200_000
 
 _PROFILE = "doc_id long, key long, t1 long, t2 long, n_shingles int, prefixes array<long>"
-_FOUND = "rep long, n_links long, low long"
+_FOUND = "rep long, n_links long, low long, pairs long, once long, twice long"
+_FOUND_NAMES = ["rep", "n_links", "low", "pairs", "once", "twice"]
 
 
-def prefix_length(trees: int, threshold: float, target_recall: float) -> int:
-    """The longest prefix that reaches the recall at the threshold."""
-    for length in range(LONGEST_PREFIX, 0, -1):
-        if 1 - (1 - threshold**length) ** trees >= target_recall:
-            return length
-    raise ValueError("the forest needs more trees for this recall")
+def measured_recall(pairs: int, once: int, twice: int) -> float:
+    """Chao's estimate: the share of all pairs that some tree has, of which `once` are in one tree and `twice` in two."""
+    missed = once * (once - 1) / (2 * (twice + 1))
+    return pairs / (pairs + missed) if pairs else 1.0
 
 
 def shingles(words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +111,13 @@ def _profile(trees: int, depth: int):
                     labels = _signatures(grams, np.append(bounds[full], bounds[-1]), trees, depth)
                 many = np.zeros(len(n) + 1, dtype=np.int32)
                 many[1:][full] = trees
+                one, two = words.digests(words.rows[:-1], words.rows[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         part.column("key"),
-                        pa.array(tk.signed(tk.spans_hash(words.hashes(0), words.rows[:-1], words.rows[1:], 2))),
-                        pa.array(tk.signed(tk.spans_hash(words.hashes(3), words.rows[:-1], words.rows[1:], 3))),
+                        pa.array(tk.signed(one)),
+                        pa.array(tk.signed(two)),
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.cumsum(many).astype(np.int32)), pa.array(tk.signed(labels.reshape(-1)))),
                     ],
@@ -167,69 +171,78 @@ def least_reachable(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return low
 
 
+def _smallest_common(lists: list[list[int]], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest value that lists[x] and lists[y] share, for each pair; they share one."""
+    values, at = np.unique(np.concatenate([np.asarray(v, dtype=np.int64) for v in lists]), return_inverse=True)
+    held = np.zeros((len(lists), len(values)), dtype=bool)
+    held[np.repeat(np.arange(len(lists)), [len(v) for v in lists]), at] = True
+    step = max(1, 8_000_000 // len(values))
+    return np.concatenate([values[np.argmax(held[x[i : i + step]] & held[y[i : i + step]], axis=1)] for i in range(0, len(x), step)])
+
+
 def _verify(threshold: float):
-    def links(group: tuple, members: list[tuple]) -> tuple[list, list, list]:
+    def links(group: tuple, members: list[tuple]) -> list[list[int]]:
         leader, i, j = group
         members.sort(key=lambda m: m[0])
         reps = np.array([m[0] for m in members])
         tile = np.array([m[1] for m in members])
         weight = np.array([m[2] for m in members])
-        sizes = np.array([len(m[4]) for m in members])
-        shared = _overlaps([m[4] for m in members])
+        sizes = np.array([len(m[5]) for m in members])
+        shared = _overlaps([m[5] for m in members])
         near = np.triu(shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9, 1)
         if i != j:
             near &= tile[:, None] != tile[None, :]
         x, y = np.nonzero(near)
         if not len(x):
-            return [], [], []
-        if any(len(m[3]) > 1 for m in members):
-            own = [set(m[3]) for m in members]
-            mine = np.fromiter((min(own[a] & own[b]) == leader for a, b in zip(x, y, strict=True)), dtype=bool, count=len(x))
-        else:
-            mine = np.ones(len(x), dtype=bool)
-        count = np.bincount(x[mine], weight[y[mine]], len(reps)) + np.bincount(y[mine], weight[x[mine]], len(reps))
+            return [[] for _ in _FOUND_NAMES]
         low = least_reachable(len(reps), x, y)
+        if any(len(m[3]) > 1 for m in members):
+            mine = _smallest_common([m[3] for m in members], x, y) == leader
+            x, y = x[mine], y[mine]
+        trees = _overlaps([np.sort(np.asarray(m[4], dtype=np.int64)) for m in members])[x, y]
+        count = np.bincount(x, weight[y], len(reps)) + np.bincount(y, weight[x], len(reps))
+        of_pairs = [np.bincount(x[k], minlength=len(reps)) for k in (trees > 0, trees == 1, trees == 2)]
         some = np.flatnonzero((count > 0) | (low != np.arange(len(reps))))
-        return reps[some].tolist(), count[some].astype(np.int64).tolist(), reps[low[some]].tolist()
+        return [c[some].astype(np.int64).tolist() for c in (reps, count, reps[low], *of_pairs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, members, out = None, [], ([], [], [])
+        group, members, out = None, [], [[] for _ in _FOUND_NAMES]
+
+        def close() -> None:
+            if len(members) > 1:
+                for into, values in zip(out, links(group, members), strict=True):
+                    into.extend(values)
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=_FOUND_NAMES)
+
         for batch in batches:
             for part in tk.chunks(batch):
                 grams, bounds = shingles(tk.Words(*tk.string_buffer(part.column("text"))))
-                columns = [part.column(c).to_pylist() for c in ("leader", "i", "j", "rep", "tile", "weight", "leaders")]
-                for k, (leader, i, j, rep, tile, weight, leaders) in enumerate(zip(*columns, strict=True)):
+                columns = [part.column(c).to_pylist() for c in ("leader", "i", "j", "rep", "tile", "weight", "leaders", "nodes")]
+                for k, (leader, i, j, rep, tile, weight, leaders, nodes) in enumerate(zip(*columns, strict=True)):
                     if (leader, i, j) != group:
-                        if len(members) > 1:
-                            for into, values in zip(out, links(group, members), strict=True):
-                                into.extend(values)
+                        close()
                         group, members, seen = (leader, i, j), [], set()
                     if rep not in seen:
                         seen.add(rep)
-                        members.append((rep, tile, weight, leaders, grams[bounds[k] : bounds[k + 1]].copy()))
+                        members.append((rep, tile, weight, leaders, nodes, grams[bounds[k] : bounds[k + 1]].copy()))
                 if len(out[0]) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["rep", "n_links", "low"])
-                    out = ([], [], [])
-        if len(members) > 1:
-            for into, values in zip(out, links(group, members), strict=True):
-                into.extend(values)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["rep", "n_links", "low"])
+                    yield flush()
+                    out = [[] for _ in _FOUND_NAMES]
+        close()
+        yield flush()
 
     return run
 
 
-def join(docs: DataFrame, threshold: float = 0.8, trees: int = 32, target_recall: float = 0.9999) -> DataFrame:
-    """Links and classes of docs(doc_id, text); see the module for the result."""
-    depth = prefix_length(trees, threshold, target_recall)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text"))
-    profile = saved(docs.mapInArrow(_profile(trees, depth), _PROFILE), "profiles")
-    named = profile.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = named.select("doc_id", "t1", "t2").distinct().groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    nodes = named.withColumnRenamed("doc_id", "rep").join(classes, ["t1", "t2", "rep"]).dropDuplicates(["rep", "t1", "t2"])
+def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Verified links of the classes that share a trie node, as counts and spanning edges."""
     placed = nodes.select("rep", F.explode("prefixes").alias("node"))
     led = placed.groupBy("node").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
-    member = saved(placed.join(led, "node").select("leader", "rep").distinct(), "members")
-    size = member.join(nodes.select("rep", "n_shingles").dropDuplicates(["rep"]), "rep").groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    matched = saved(placed.join(led, "node"), "matched")
+    member = matched.select("leader", "rep").distinct()
+    size = member.join(nodes.select("rep", "n_shingles"), "rep").groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
     # only groups of several tiles are listed, so that a large group meets one row of a plain table in a join that can be split
     tiles = size.select("leader", F.greatest(F.ceil(F.col("n") / TILE_ROWS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int").alias("n_tiles"))
     tiles = saved(tiles.where("n_tiles > 1"), "tiles")
@@ -237,20 +250,35 @@ def join(docs: DataFrame, threshold: float = 0.8, trees: int = 32, target_recall
     visits = F.transform(
         F.sequence(F.lit(0), F.col("n_tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"))
     )
+    # a class has at most one node in each tree
     routes = (
-        member.join(tiles, "leader", "left").withColumn("n_tiles", F.coalesce("n_tiles", F.lit(1))).withColumn("tile", own_tile)
-        .groupBy("rep").agg(F.collect_list(F.struct("leader", "tile", "n_tiles")).alias("routes"))
+        matched.join(tiles, "leader", "left").withColumn("n_tiles", F.coalesce("n_tiles", F.lit(1))).withColumn("tile", own_tile)
+        .groupBy("rep").agg(F.collect_set(F.struct("leader", "tile", "n_tiles")).alias("routes"), F.collect_list("node").alias("nodes"))
     )
-    wanted = nodes.select("rep", "key", "weight").dropDuplicates(["rep"]).join(routes, "rep")
+    wanted = nodes.select("rep", "key", "weight").join(routes, "rep")
     pairs = (
         docs.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "key"])
-        .select("rep", "weight", "text", F.transform("routes", lambda r: r["leader"]).alias("leaders"), F.explode("routes").alias("r"))
-        .select("rep", "weight", "text", "leaders", "r.leader", "r.tile", "r.n_tiles")
+        .select("rep", "weight", "text", "nodes", F.transform("routes", lambda r: r["leader"]).alias("leaders"), F.explode("routes").alias("r"))
+        .select("rep", "weight", "text", "nodes", "leaders", "r.leader", "r.tile", "r.n_tiles")
         .withColumn("visit", F.explode(visits))
-        .select("leader", "visit.i", "visit.j", "rep", "tile", "weight", "leaders", "text")
+        .select("leader", "visit.i", "visit.j", "rep", "tile", "weight", "leaders", "nodes", "text")
         .repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
     )
-    found = saved(pairs.mapInArrow(_verify(threshold), _FOUND), "links")
+    return saved(pairs.mapInArrow(_verify(threshold), _FOUND), "links")
+
+
+def join(docs: DataFrame, threshold: float = 0.8, trees: int = TREES, longest: int = LONGEST, target_recall: float = 0.9999) -> DataFrame:
+    """Links and classes of docs(doc_id, text); see the module for the result."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text"))
+    for depth in range(longest, 0, -1):
+        profile = saved(docs.mapInArrow(_profile(trees, depth), _PROFILE), "profiles")
+        named = profile.where("doc_id IS NOT NULL AND n_shingles > 0")
+        classes = named.select("doc_id", "t1", "t2").distinct().groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+        nodes = named.withColumnRenamed("doc_id", "rep").join(classes, ["t1", "t2", "rep"]).groupBy("rep").agg(F.min(F.struct("key", "weight", "n_shingles", "prefixes")).alias("own")).select("rep", "own.*")
+        found = _links(docs, nodes, threshold)
+        seen = found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "once", "twice"))).first()
+        if measured_recall(seen.pairs, seen.once, seen.twice) >= target_recall:
+            break
     counted = found.groupBy("rep").agg(F.sum("n_links").alias("n"))
     reached = components(found.select(F.col("rep").alias("u"), F.col("low").alias("v"))).withColumnRenamed("node", "rep")
     settled = classes.join(counted, "rep", "left").join(reached, "rep", "left").select(

@@ -69,9 +69,62 @@ def test_deduplicate(spark):
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == want
 
 
-def test_prefix_length():
-    assert m.prefix_length(32, 0.8, 0.9999) == 6
-    assert m.prefix_length(32, 0.8, 0.99999) == 5
+def bands(n=400):
+    """Pairs of texts whose similarity lies in known bands, among strangers."""
+    rng = random.Random(9)
+    rows, i = [], 0
+    for p in range(n):
+        w = [f"p{p}x{k}" for k in range(200)]
+        v = list(w)
+        for k in range(1 + p % 4):
+            v[20 + 45 * k] = f"new{p}"
+        rows += [(i, " ".join(w)), (i + 1, " ".join(v[: 200 - 3 * (p % 9)]))]
+        i += 2
+    return rows + [(i + k, " ".join(f"z{rng.randrange(10**6)}" for _ in range(50))) for k in range(50)]
+
+
+def test_recall_by_band(spark):
+    rows = bands()
+    want, of = brute(rows), dict(rows)
+    found = {}
+    got = result(m.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    for a in range(0, 800, 2):
+        x, y = shingles(of[a]), shingles(of[a + 1])
+        s = len(x & y) / len(x | y)
+        if want[a][1]:
+            found.setdefault(int(s * 20), []).append(got[a][1] == 1)
+    assert len(found) >= 4 and min(found) == 16
+    assert all(sum(x) / len(x) >= 0.999 for x in found.values()), found
+
+
+def test_prefixes_shorten(spark, monkeypatch):
+    """With few trees the recall measured at the longest prefixes is too low; shorter ones reach it."""
+    rows, depths = bands(200), []
+    profile = m._profile
+    monkeypatch.setattr(m, "_profile", lambda trees, depth: depths.append(depth) or profile(trees, depth))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, want = result(m.join(df, trees=6, longest=12, target_recall=0.99)), brute(rows)
+    assert depths == list(range(12, depths[-1] - 1, -1)) and 1 <= depths[-1] < 12
+    assert sum(n for _, n in got.values()) >= 0.98 * sum(n for _, n in want.values())
+
+
+def test_measured_recall():
+    assert m.measured_recall(0, 0, 0) == 1 and m.measured_recall(100, 0, 0) == 1
+    assert m.measured_recall(90, 20, 18) == 0.9
+
+
+def test_texts_of_like_structure(spark):
+    """Thue-Morse sequences and their complements link with nothing."""
+    bits = [[bin(i).count("1") % 2 for i in range(n)] for n in (1024, 2048)]
+    rows = [(10 * k + f, "".join("ab"[x ^ f] for x in b) + " tail") for k, b in enumerate(bits) for f in (0, 1)]
+    rows += [(100 + 10 * k + f, " ".join(f"{'pq'[x ^ f]}{i // 9}" for i, x in enumerate(b))) for k, b in enumerate(bits) for f in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(m.join(df)) == brute(rows) and not any(n for _, n in result(m.join(df)).values())
+
+
+def test_two_texts_of_one_id(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "x y z u v w"), (2, "a b c d e f")], "doc_id long, text string")
+    assert {r.doc_id for r in m.deduplicate(df).collect()} == {1} and m.join(df).count() == 3
 
 
 def test_components(spark):
