@@ -1,26 +1,27 @@
 """Licence scan with a positional rare-token index; DataFrame functions only.
 
-1. Document frequencies of all template words over the whole corpus give IDF weights.
-2. Index: of every template the `RARE` words of highest IDF, with their positions.
-3. Every file looks up all index words, and of a template whose index words are all outside
-   its key phrases also the rarest key word.  Template postings and file positions meet by
-   relative position (file position minus template position), so all hits of one copy of a
-   notice share one offset.
-4. A template is found where, at one offset, every word of the mandatory key phrases stands in
+1. One pass over the texts gives the base figures, the licence words that each file holds, and their positions
+   in files that hold all mandatory words of some template.
+2. Document frequencies of the licence words over the whole corpus give IDF weights.
+3. Index: of every template the `RARE` words of highest IDF with their positions, and the rarest mandatory word
+   where none is among them.  A file looks all of them up, however many it holds.
+4. Template postings and file positions meet by relative position (file position minus template
+   position), so all hits of one copy of a notice share one offset.
+5. A template is found where, at one offset, every word of the mandatory key phrases stands in
    its place.  The score is the IDF share of the key and index words that stand there.
 
 The index is one row per template word, a bound that no corpus changes.  Copies of a notice
 anywhere in a text count; text of a single repeated licence word is aggregated, never paired.
 
-The SQL looks up only the `LOOKED_UP` index words of highest IDF of a file and wants one of them at
-the offset: on files with more index words it may miss labels that are found here.
-
 Defined results: null or empty text has no words, no labels and score 0; null doc_ids
 and repeated rows are scored each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,6 @@ TEMPLATES = (
 )
 
 RARE = 4
-LOOKED_UP = 12
 
 
 def _key_places(notice: str, phrases: tuple[str, ...]) -> set[int]:
@@ -85,16 +85,10 @@ def _count_words(part: Column) -> Column:
     return ((F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def _idf(docs: DataFrame) -> dict[str, float]:
+def _idf(figures: DataFrame, known: list[str]) -> dict[str, float]:
     """IDF of every template word over all documents; one number per template word reaches the driver."""
-    known = sorted({w for _, _, _, w, _ in _template_words()})
-    listed = F.array(*(F.lit(w) for w in known))
-    held = docs.select(F.array_intersect(listed, F.split(F.trim(spaced(F.col("text"))), "  ", -1)).alias("held"))
-    n = F.count(F.lit(1))
-    rows = held.select(F.explode(F.array_append("held", F.lit(""))).alias("word")).groupBy("word").agg(n.alias("df")).collect()
+    rows = figures.select(F.explode(F.array_append("held", F.lit(""))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()
     df = {r.word: r.df for r in rows}
-    import math
-
     total = df.get("", 0)
     return {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1e-6 for w in known}
 
@@ -115,35 +109,24 @@ def _index(idf: dict[str, float]) -> list[tuple[str, int, str, int, int, int, fl
     return rows
 
 
-def _looked_up(index: list[tuple[str, int, str, int, int, int, float, float]]) -> list[str]:
-    """The index words, and the rarest key word of each template without a key word among its own."""
-    words = {r[0] for r in index if r[5]}
-    for t in range(len(TEMPLATES)):
-        keys = [r for r in index if r[1] == t and r[4]]
-        if not any(r[5] for r in keys):
-            words.add(min(keys, key=lambda r: (-r[6], r[0]))[0])
-    return sorted(words)
+def _words_of(names) -> Column:
+    return F.array(*(F.lit(w) for w in sorted(names)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Figures and labels of docs(doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    idf = _idf(docs)
-    index = _index(idf)
-    looked_up = F.array(*(F.lit(w) for w in _looked_up(index)))
-    needed = sorted({r[0] for r in index})
-    postings = spark.createDataFrame(index, "word string, template int, label string, at int, bit long, rare int, weight double, total double")
-    full = {t: sum(r[4] for r in index if r[1] == t) for t in range(len(TEMPLATES))}
-    masks = spark.createDataFrame(list(full.items()), "template int, mask long")
-    postings = postings.join(F.broadcast(masks), "template")  # one row per template word
+    template_words = _template_words()
+    known = sorted({w for _, _, _, w, _ in template_words})
+    mandatory = {frozenset(w for t, _, _, w, key in template_words if key and t == k) for k in range(len(TEMPLATES))}
 
     text = docs.select("doc_id", F.xxhash64("text").alias("key"), spaced(F.col("text")).alias("spaced"))
-    text = text.withColumn("words", F.split(F.trim("spaced"), "  ", -1))
-    wanted = F.array(*(F.lit(w) for w in needed))
+    text = text.withColumn("words", F.split(F.trim("spaced"), "  ", -1)).withColumn("held", F.array_intersect(_words_of(known), "words"))
+    possible = reduce(lambda a, b: a | b, (F.size(F.array_except(_words_of(keys), "held")) == 0 for keys in sorted(mandatory, key=sorted)))
     hits = F.when(
-        F.arrays_overlap(looked_up, "words"),
-        F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.cast("int").alias("pos"))), lambda x: F.array_contains(wanted, x["word"])),
+        possible,
+        F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.cast("int").alias("pos"))), lambda x: F.array_contains(_words_of(known), x["word"])),
     )
     n_base, firsts, lasts, labels = F.lit(0).cast("long"), [], [], []
     n_words = F.when(F.col("spaced") == "", F.lit(0).cast("long")).otherwise(_count_words(F.col("spaced")))
@@ -160,10 +143,15 @@ def scan(docs: DataFrame) -> DataFrame:
     figures = saved(
         text.select(
             "doc_id", "key", n_words.alias("n_words"), n_base.alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"),
-            F.array_sort(F.array_compact(F.array(*labels))).alias("base"), hits.alias("hits"),
+            F.array_sort(F.array_compact(F.array(*labels))).alias("base"), "held", hits.alias("hits"),
         ),
         "licence-figures",
     )
+    index = _index(_idf(figures, known))
+    postings = spark.createDataFrame(index, "word string, template int, label string, at int, bit long, rare int, weight double, total double")
+    full = {t: sum(r[4] for r in index if r[1] == t) for t in range(len(TEMPLATES))}
+    masks = spark.createDataFrame(list(full.items()), "template int, mask long")
+    postings = postings.join(F.broadcast(masks), "template")  # one row per template word
     placed = figures.where("size(hits) > 0").select("doc_id", "key", F.explode("hits").alias("h")).select("doc_id", "key", "h.word", "h.pos")
     met = placed.join(F.broadcast(postings), "word").select(
         "doc_id", "key", "template", "label", "mask", "at", "bit", "weight", "total", (F.col("pos") - F.col("at")).alias("offset"),
@@ -203,12 +191,9 @@ ranked AS (SELECT t, word, weight, row_number() OVER (PARTITION BY t ORDER BY we
 used AS (SELECT tw.*, weight, rare FROM tw JOIN ranked USING (t, word) WHERE mandatory OR rare),
 total AS (SELECT t, sum(weight) AS total, count_if(mandatory) AS n_mandatory FROM used GROUP BY t),
 pos AS (SELECT doc_id, word, i FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d) WHERE word IN (SELECT word FROM used)),
-held AS (SELECT DISTINCT doc_id, word FROM pos WHERE word IN (SELECT word FROM used WHERE rare)),
-looked AS (SELECT doc_id, word FROM held JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, word) <= {LOOKED_UP}),
-met AS (SELECT p.doc_id, u.t, u.label, p.i - u.place AS shift, u.mandatory, u.weight, u.rare AND l.word IS NOT NULL AS hit
-  FROM pos p JOIN used u USING (word) LEFT JOIN looked l ON l.doc_id = p.doc_id AND l.word = p.word),
+met AS (SELECT p.doc_id, u.t, u.label, p.i - u.place AS shift, u.mandatory, u.weight FROM pos p JOIN used u USING (word)),
 found AS (SELECT doc_id, label, least(1.0, sum(weight) / any_value(total)) AS share FROM met JOIN total USING (t) GROUP BY doc_id, t, label, shift
-  HAVING count_if(mandatory) = any_value(n_mandatory) AND bool_or(hit)),
+  HAVING count_if(mandatory) = any_value(n_mandatory)),
 own AS (SELECT doc_id, list(DISTINCT label) AS own, max(share) AS share FROM found GROUP BY doc_id),
 place AS ({base}),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM place GROUP BY doc_id)

@@ -57,5 +57,20 @@ f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN cut USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_line_words >= n_words * 0.5 AS kept, n_line_words FROM f
+""",
+    "op10_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+cls AS (SELECT w, min(doc_id) AS rep, count(*) AS weight FROM d WHERE len(w) > 0 GROUP BY w),
+sh AS (SELECT DISTINCT rep, array_to_string(w[i:i + 4], ' ') AS s FROM cls, range(1, greatest(len(w) - 3, 2)) t(i)),
+n AS (SELECT rep, count(*) AS n FROM sh GROUP BY rep),
+shared AS (SELECT a.rep AS a, b.rep AS b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.rep < b.rep GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE o >= 0.8 * (x.n + y.n - o) - 1e-9),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT rep AS a, rep AS b FROM cls UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+comp AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+linked AS (SELECT a AS rep, sum(c.weight) AS k FROM edge JOIN cls c ON c.rep = edge.b GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(k, 0) + coalesce(weight - 1, 0) AS BIGINT) AS n_links,
+  coalesce(cls.rep, d.doc_id) AS text_id, coalesce(class_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN cls USING (w) LEFT JOIN comp ON comp.rep = cls.rep LEFT JOIN linked ON linked.rep = cls.rep
 """,
 }
