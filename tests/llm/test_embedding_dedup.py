@@ -54,9 +54,36 @@ def test_edges_and_tiles(spark, monkeypatch):
         rows = [r for r in rows if r[0] < 2010]
         df = spark.createDataFrame([*rows, rows[5], (None, rows[0][1], 1)], "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS rep", "2 AS task")
         for threshold in (0.93, 0.7):
-            got = m.near_duplicates(df, threshold=threshold, blocks=grid_blocks)
+            got = m.near_duplicates(df, threshold=threshold, blocks=(grid_blocks,))
             assert result(got) == brute(rows, threshold)
 
 
+def test_labels_of_any_type(spark):
+    rows = [(i, e, None if label is None else f"l{label}") for i, e, label in cluster(6, 60) if i < 2010]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    given = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
+    assert result(m.near_duplicates(df)) == brute(given)
+
+
+def test_blocks_of_least_cost():
+    """Random vectors meet at most once a pair; vectors with strong directions meet seldom."""
+    rng = np.random.default_rng(2)
+    flat = rng.normal(size=(1000, 64))
+    label = np.zeros(1000, dtype=int)
+    met = lambda v: m.meetings(s := m.choose(v, label, 0.93), s.rotated(v), label, 0.14).sum()
+    assert met(flat) <= 1.0
+    steep = flat * np.where(np.arange(64) < 3, 30, 1)
+    assert met(steep) < 0.4 * met(flat)
+    for b in m.BLOCKS:
+        split = m.Split.of(np.linalg.qr(flat[:64])[0], b)
+        x, unit = split.rotated(flat), m._unit(flat)
+        assert np.allclose(x @ x.T, unit @ unit.T) and np.array_equal(x[5:9], split.rotated(flat[5:9]))
+        # pigeonhole: some block of a linked pair is within its share
+        y = split.rotated(flat + 0.2 * rng.normal(size=flat.shape))
+        near = ((x - y) ** 2).sum(1) <= 0.14
+        parts = np.stack([((x - y) ** 2)[:, p:q].sum(1) for p, q in zip(split.bounds[:-1], split.bounds[1:])], axis=1)
+        assert near.any() and (parts <= split.limits(0.14)).any(1)[near].all()
+
+
 def test_empty(spark):
     assert m.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
