@@ -80,8 +80,12 @@ def _power(args: list[Arg]) -> Column:
     value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
     if not whole:
         return value
-    # integers stay integers; a negative exponent would give a fraction and keeps its column whole only if integral
-    return F.when((exponent >= 0) & (F.abs(value) < 2.0**53), value.cast("bigint")).otherwise(F.when(value == F.floor(value), value.try_cast("bigint")))
+    base, exponent = (_number(a, True) for a in args)
+    # exact products, NULL on overflow; beyond 64 factors only -1, 0 and 1 have a value, and only parity counts
+    turns = F.when(exponent > 64, 64 + exponent % 2).otherwise(exponent).cast("int")
+    product = F.aggregate(F.sequence(F.lit(1), turns), F.lit(1).cast("bigint"), lambda a, _: F.try_multiply(a, base))
+    # a negative exponent would give a fraction and keeps its column whole only if integral
+    return F.when(exponent > 0, product).when(exponent == 0, F.lit(1).cast("bigint")).otherwise(F.when(value == F.floor(value), value.try_cast("bigint")))
 
 
 def _average(values: Column, whole: bool) -> Column:

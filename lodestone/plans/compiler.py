@@ -59,6 +59,8 @@ class Compiler:
     def __init__(self, catalog: Catalog, domain_cap: int | None = None):
         self.catalog, self.spark, self.domain_cap = catalog, catalog.spark, domain_cap
         self._used: set[Var] = set()
+        #: Anonymous variables under their new names: a NULL there hides no row.
+        self._anonymous: set[Var] = set()
 
     # entry
     def query(self, query: Query, names: list[str] | None = None, bindings: DataFrame | None = None, distinct: bool = True) -> DataFrame:
@@ -88,6 +90,9 @@ class Compiler:
     def formula(self, f) -> Rel:
         return self.conjunction([normal(f)], Rel(None), set(free(f)))
 
+    def anonymous(self, v: Var) -> bool:
+        return v.name.startswith("_#") or v in self._anonymous
+
     # conjunctions
     def conjunction(self, parts: list, rel: Rel, wanted: set[Var]) -> Rel:
         self._used |= {v for p in parts for v in free(p)} | set(rel.vars)
@@ -125,6 +130,8 @@ class Compiler:
                 for v in p.variables:
                     new = fresh(v.name.replace("#", "anon"), self._used)
                     self._used.add(new)
+                    if self.anonymous(v):
+                        self._anonymous.add(new)
                     renamed[v] = new
                 work.insert(0, substitute(p.part, renamed))
             elif isinstance(p, Eq):
@@ -282,7 +289,7 @@ class Compiler:
                 else:
                     seen[t] = i
                     # a missing value is no term: its row does not hold
-                    if not t.name.startswith("_#") and "anon" not in t.name:
+                    if not self.anonymous(t):
                         conditions.append(columns[i].isNotNull())
             else:
                 value, kind = literal_column(t, kinds[i])

@@ -25,20 +25,34 @@ class CsvOptions:
     separator: str = ","
     prefix: str = ""
     header_rows: int = 0
+    #: Fields may hold line breaks; a file is then read by one task.
+    multi_line: bool = False
+
+
+def _without_headers(rows: DataFrame, columns: list[str], header_rows: int) -> DataFrame:
+    """The rows of files without the first `header_rows` of each file, whatever they hold."""
+    marked = rows.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    first = marked.where("block = 0").groupBy("file").agg(F.min("at").alias("first"))
+    return marked.join(first, "file", "left").where((F.col("block") > 0) | (F.col("at") - F.col("first") >= header_rows)).select(*columns)
 
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None) -> DataFrame:
     """Rows of a CSV file as string columns; a row of another width raises when it is read."""
     o = options or CsvOptions()
-    first = spark.read.text(path).limit(o.header_rows + 1).collect()
-    width = len(_split_line(first[-1].value if first else "", o.separator))
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    if o.multi_line:
+        given = {"sep": o.separator, "quote": '"', "escape": '"', "multiLine": True, "emptyValue": "", "columnPruning": False}
+        probe = spark.read.options(**given).csv(path)
+        row = _without_headers(probe, probe.columns, o.header_rows).first() if o.header_rows else probe.first()
+        width = max((i + 1 for i, v in enumerate(row or ()) if v is not None), default=1)
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+        rows = spark.read.options(**given, mode="PERMISSIVE" if o.header_rows else "FAILFAST").schema(schema).csv(path)
+        return _without_headers(rows, schema.names, o.header_rows) if o.header_rows else rows
     lines = spark.read.text(path)
     if o.header_rows:
-        # the header stands at the start of its file
-        lines = lines.select("value", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
-        skip = [r.value for r in first[: o.header_rows]]
-        lines = lines.where(~((F.col("file_block_start") == 0) & F.col("value").isin(skip)))
+        lines = _without_headers(lines, ["value"], o.header_rows)
+    first = lines.first()
+    width = len(_split_line(first.value if first else "", o.separator))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     parsed = lines.select(F.split_part(F.lit("x"), F.lit("y"), F.lit(1)).alias("_"), F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": o.separator, "mode": "FAILFAST", "emptyValue": ""}).alias("r"), "value")
     counted = parsed.withColumn("n", F.size(F.split(F.regexp_replace("value", r'"(?:[^"]|"")*"', ""), re.escape(o.separator), -1)))
     checked = counted.where(F.when(F.col("n") == width, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("ragged row: "), "value")).cast("boolean")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.chase import Options, chase
-from lodestone.runtime import saved
+from lodestone.runtime import exists, saved
 from lodestone.sources.catalog import Catalog, positional, without
 from lodestone.syntax import Rule
 
@@ -16,8 +16,10 @@ from lodestone.syntax import Rule
 class Saturation:
     """A catalog and rules without negation; `attach` feeds one predicate from a stream.
 
-    Batches are written to the shared folder before use, so a repeated batch adds nothing:
-    rows that are there already have no consequences left.
+    A batch and its consequences become visible together, after the chase has ended: a batch
+    that fails leaves the catalog as it was, and its repetition finds nothing done.  `attach` writes every batch
+    under its number into the stream's checkpoint folder before it is used; a new Saturation that attaches to the same
+    checkpoint takes these rows in again, so a restarted driver loses none.
     """
 
     def __init__(self, catalog: Catalog, rules: Iterable[Rule], options: Options | None = None):
@@ -32,10 +34,22 @@ class Saturation:
         new = saved(rows if source is None else without(rows, source.frame()), "arrived")
         n = new.count()
         if n:
-            self.catalog.insert(key, new)
-            self.catalog = chase(self.catalog, self.rules, self.options, changed={key: new}).catalog
+            staged = self.catalog.copy()
+            staged.insert(key, new)
+            self.catalog = chase(staged, self.rules, self.options, changed={key: new}).catalog
         return n
 
     def attach(self, name: str, stream: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
-        writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: self.add(name, batch))
+        spark, folder = stream.sparkSession, f"{checkpoint.rstrip('/')}-facts/{name}"
+        schema = stream.schema
+
+        def take(batch: DataFrame, number: int) -> None:
+            # a repeated batch replaces its own rows
+            path = f"{folder}/batch={number}"
+            batch.write.mode("overwrite").parquet(path)
+            self.add(name, spark.read.schema(schema).parquet(path))
+
+        if exists(spark, folder):
+            self.add(name, spark.read.schema(schema).parquet(folder).select(*schema.names))
+        writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)
         return (writer.trigger(availableNow=True) if once else writer).start()

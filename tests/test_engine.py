@@ -197,3 +197,26 @@ def test_cli(tmp_path, capsys):
     (tmp_path / "q.dlgp").write_text("g(X,X) :- v(X).\n?(X,Y) :- g(X,Y).")
     assert cli.main([str(tmp_path / "q.dlgp"), "-v"]) == 0 and "v(X)" in capsys.readouterr().out
     assert cli.main([str(tmp_path / "q.dlgp"), "-m"]) == 0
+
+
+def test_names_with_anon(e, spark):
+    """A variable's name does not decide whether a NULL hides its row."""
+    e.catalog.add("t", spark.createDataFrame([(1, None), (2, "x")], "a int, b string"))
+    for query in ("?(A) :- t(A, B).", "?(A) :- t(A, Canon).", "?(A) :- t(A, Anon_1), not gone(A)."):
+        assert answers(e.ask(query)) == [("2",)], query
+    assert answers(e.ask("?(A) :- t(A, _).")) == [("1",), ("2",)]
+
+
+def test_headers_go_by_place(spark, tmp_path):
+    """Data rows that equal the header stay; every file has its own header."""
+    folder = tmp_path / "x.csv"
+    folder.mkdir()
+    (folder / "one.csv").write_text("a,b\n1,2\na,b\n3,4\n")
+    (folder / "two.csv").write_text("c,d\n5,6\n1,2\n")
+    got = files.read_csv(spark, str(folder), files.CsvOptions(header_rows=1))
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "2"), ("1", "2"), ("3", "4"), ("5", "6"), ("a", "b")]
+    got = files.read_csv(spark, str(folder / "one.csv"), files.CsvOptions(header_rows=3))
+    assert [tuple(r) for r in got.collect()] == [("3", "4")]
+    (tmp_path / "lines.csv").write_text('h,"i\nj"\n1,"two\nlines"\n"say ""x""",3\n')
+    got = files.read_csv(spark, str(tmp_path / "lines.csv"), files.CsvOptions(header_rows=1, multi_line=True))
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "two\nlines"), ('say "x"', "3")]

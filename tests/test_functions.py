@@ -7,7 +7,7 @@ from lodestone.functions import names
 
 CASES = [
     ("sum(1, 2, 3, X)", 6), ("sum(1, 2.5, X)", 3.5), ('sum("4", 1, X)', 5.0), ("min(3, 1, 2, X)", 1), ("max(3, 1, 2, X)", 3), ("minus(5, 2, 1, X)", 2), ("minus(5, X)", 5),
-    ("product(2, 3, X)", 6), ("divide(7.0, 2.0, X)", 3.5), ("divide(1, 0, X)", None), ("power(2, 10, X)", 1024), ("power(2, 0.5, X)", 2**0.5), ("power(2, -1, X)", None), ("average(1, 2, X)", 1.5),
+    ("product(2, 3, X)", 6), ("divide(7.0, 2.0, X)", 3.5), ("divide(1, 0, X)", None), ("power(2, 10, X)", 1024), ("power(2, 0.5, X)", 2**0.5), ("power(2, -1, X)", None), ("power(3, 35, X)", 3**35), ("power(-3, 39, X)", -(3**39)), ("power(-2, 63, X)", -(2**63)), ("power(2, 63, X)", None), ("power(-1, 1001, X)", -1), ("power(0, 0, X)", 1), ("power(1, 100000000, X)", 1), ("average(1, 2, X)", 1.5),
     ("median(5, 1, 3, X)", 3.0), ("median(4, 1, X)", 2.5), ("weightedAverage(1, 1, 3, 3, X)", 2.5), ("weightedAverage(1, -1, X)", None), ("weightedMedian(1, 1, 2, 1, 3, 5, X)", 3.0), ("weightedMedian(1, 1, 3, 1, X)", 2.0),
     ("isEven(4, X)", True), ("isOdd(4, X)", False), ("isPrime(2, X)", True), ("isPrime(3, X)", True), ("isPrime(9, X)", False), ("isPrime(1, X)", False), ("isGreaterThan(2, 1, X)", True), ("isGreaterOrEqualsTo(1, 1, X)", True),
     ("isSmallerThan(2, 1, X)", False), ("isSmallerOrEqualsTo(1, 2, X)", True), ('isLexicographicallyGreaterThan("b", "a", X)', True), ('isLexicographicallyGreaterOrEqualsTo("a", "a", X)', True),
