@@ -1,27 +1,35 @@
 """Forward chaining: semi-naive saturation of predicates as DataFrames.
 
 Every round runs one plan per head predicate and writes the new rows to the shared
-folder; a predicate is the union of its written deltas, so plans stay short however many
-rounds there are and nothing is computed twice.  Labelled nulls are deterministic: hashes of the
+folder.  A predicate is the union of its written parts; parts of like size are merged into one (as in a
+log-structured store), so there are logarithmically many and plans stay short however many rounds there
+are.  A body that several rules share is planned and run once.  Labelled nulls are deterministic: hashes of the
 rule, the variable and the values that the chosen renamer keys them by.
+
+Semi-naive triggers are anchored on one atom's new rows; the derived atoms before it read all rows and those behind
+it the old ones, so no trigger is found twice.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 import time
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from contextlib import contextmanager
+from dataclasses import dataclass, field, fields, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import standard
 from lodestone.functions.standard import Arg, FunctionError
 from lodestone.operators.ruleset import dependencies, negative_atoms, positive_atoms, split, strata, weakly_acyclic
-from lodestone.plans.compiler import Compiler, Rel
+from lodestone.plans.compiler import Compiler, Rel, column_name
 from lodestone.plans.encoding import PlanError, literal_column, term_struct, to_term
 from lodestone.runtime import saved
 from lodestone.sources.catalog import Catalog, Key, Source, align, without
@@ -77,6 +85,9 @@ class Result:
     stopped: str = "no new facts"
     derivations: DataFrame | None = None
     applied: list[list[str]] = field(default_factory=list)
+    #: Rules of each stratum, and the options that are not the usual ones.
+    strata: list[list[str]] = field(default_factory=list)
+    settings: dict = field(default_factory=dict)
 
     def frame(self, name: str, arity: int) -> DataFrame:
         source = self.catalog.find((name, arity))
@@ -85,7 +96,10 @@ class Result:
         return source.frame()
 
     def describe(self) -> dict:
-        return {"steps": self.steps, "stopped": self.stopped, "created": {f"{k[0]}/{k[1]}": n for k, n in self.created.items()}, "applied": self.applied}
+        return {"steps": self.steps, "stopped": self.stopped, "created": {f"{k[0]}/{k[1]}": n for k, n in self.created.items()}, "applied": self.applied, "strata": self.strata, "options": self.settings}
+
+    def describe_json(self) -> str:
+        return json.dumps(self.describe(), indent=1, default=str)
 
 
 def _json(cols: list[Column]) -> Column:
@@ -98,8 +112,15 @@ class _Round:
     def __init__(self, catalog: Catalog, options: Options, names: dict[int, str]):
         self.catalog, self.options, self.names = catalog, options, names
         self.parts: dict[Key, list[DataFrame]] = {}
+        #: Rows of each part; a predicate's first rows count as without bound.
+        self.sizes: dict[Key, list[float]] = {}
         self.delta: dict[Key, DataFrame] = {}
+        self.old: dict[Key, DataFrame] = {}
         self.derivations: list[DataFrame] = []
+        #: Frontiers that a rule has fired for, where the renamer would tell their bodies apart.
+        self.log: dict[int, DataFrame] = {}
+        self.shared: dict[tuple, Rel] = {}
+        self.begin()
 
     # plans
     def body(self, rule: Rule, extra: list, version_of: dict[int, str], wanted: set[Var]) -> Rel:
@@ -123,22 +144,61 @@ class _Round:
                 out.append(p)
         return out
 
-    def triggers(self, rule: Rule, first: bool) -> list[Rel]:
+    def by_body(self) -> bool:
+        """Whether nulls are told apart by the whole body's values."""
+        return self.options.renamer in ("body", "body_true", "fresh")
+
+    def wanted(self, rule: Rule) -> set[Var]:
+        """Body variables that heads, nulls or lineage need."""
+        every = rule.existentials and self.by_body() or self.options.lineage
+        return set(rule.frontier) | (set(free(rule.body)) if every else set())
+
+    def triggers(self, rule: Rule, number: int, first: bool, layer: list[Rule]) -> list[Rel]:
         o = self.options
-        keyed_by_body = o.renamer.startswith("body") or o.renamer == "fresh" and o.checker in ("oblivious", "always_true")
-        wanted = set(rule.frontier) | (set(free(rule.body)) if keyed_by_body or o.lineage else set())
         extra: list = []
         if o.computer == "restricted" or o.checker in ("restricted", "equivalent", "so_restricted"):
             if rule.existentials:
                 extra = [Not(Exists(tuple(rule.existentials), And(rule.head_atoms)))]
         atoms = [p for p in self.flat(rule) if isinstance(p, Atom)]
         if first or o.computer in ("naive", "restricted") or not atoms:
-            return [self.body(rule, extra, {}, wanted)] if first or atoms or o.computer != "semi_naive" else []
-        out = []
-        for i, a in enumerate(atoms):
-            if a.key in self.delta:
-                out.append(self.body(rule, extra, {i: "delta"}, wanted))
-        return out
+            versions = [{}] if first or atoms or o.computer != "semi_naive" else []
+        else:
+            versions = []
+            for i, a in enumerate(atoms):
+                if a.key in self.delta:
+                    late = {j: "old" for j in range(i + 1, len(atoms)) if atoms[j].key in self.old} if o.computer == "semi_naive" else {}
+                    versions.append({i: "delta"} | late)
+        sharers = [r for r in layer if r.body == rule.body] if not extra else []
+        if len(sharers) < 2:
+            rels = [self.body(rule, extra, v, self.wanted(rule)) for v in versions]
+        else:
+            rels = [self.common(rule, sharers, v) for v in versions]
+        return [self.unfired(rule, number, rel) for rel in rels]
+
+    def common(self, rule: Rule, sharers: list[Rule], version: dict[int, str]) -> Rel:
+        """The triggers of a body that several rules of the layer share: planned and written once a round."""
+        key = (rule.body, tuple(sorted(version.items())))
+        if key not in self.shared:
+            rel = self.body(rule, [], version, set().union(*(self.wanted(r) for r in sharers)))
+            self.shared[key] = Rel(saved(rel.df, "triggers"), rel.vars) if rel.df is not None and rel.vars else rel
+        return self.shared[key]
+
+    def unfired(self, rule: Rule, number: int, rel: Rel) -> Rel:
+        """Once for each frontier under the semi-oblivious checkers, whatever the renamer keys nulls by."""
+        keyed = rule.existentials and self.by_body() and self.options.checker in ("semi_oblivious", "so_restricted")
+        frontier = [v for v in rel.vars if v in rule.frontier]
+        if not keyed or rel.df is None or len(frontier) == len(rel.vars):
+            return rel
+        names, rest = [column_name(v) for v in frontier], [column_name(v) for v in rel.vars if v not in frontier]
+        one = rel.df.groupBy(*names).agg(F.min(F.struct(*rest)).alias("own")).select(*names, *(F.col(f"own.{c}").alias(c) for c in rest))
+        if number in self.log:
+            past = self.log[number].alias("past")
+            on = [one[c].eqNullSafe(F.col(f"past.{c}")) for c in names]
+            one = one.join(past, on, "left_anti") if names else one.limit(0)
+        one = saved(one, "triggers")
+        fired = one.select(*names) if names else one.limit(1)
+        self.log[number] = fired if number not in self.log else self.log[number].unionByName(fired)
+        return Rel(one, [*frontier, *(v for v in rel.vars if v not in frontier)])
 
     def heads(self, rule: Rule, rel: Rel, number: int, step: int) -> list[tuple[Key, DataFrame]]:
         """Head rows of the triggers, computed head terms without value dropped."""
@@ -171,7 +231,7 @@ class _Round:
     def null(self, rule: Rule, rel: Rel, e: Var, name: str, step: int) -> Column:
         o = self.options
         kind = o.renamer.removesuffix("_true")
-        if kind == "body" or kind == "fresh" and o.checker in ("oblivious", "always_true"):
+        if kind in ("body", "fresh"):
             keys = [v for v in sorted(free(rule.body), key=lambda v: v.name) if v in rel.vars]
         elif kind == "frontier_by_piece":
             from lodestone.operators.ruleset import pieces
@@ -228,22 +288,44 @@ class _Round:
         new = saved(made, f"delta-{re.sub(r'[^A-Za-z0-9]', '_', key[0])}")
         n = new.count()
         if n:
-            self.parts.setdefault(key, [] if source is None else [source.frame()]).append(new)
+            if source is not None:
+                self.old_rows[key] = source.frame()
             self.fresh[key] = new
+            parts, sizes = self.parts.setdefault(key, []), self.sizes.setdefault(key, [])
+            if not parts and source is not None:
+                parts.append(source.frame())
+                sizes.append(float("inf"))
+            parts.append(new)
+            sizes.append(n)
+            merged = len(parts)
+            while merged > 1 and 2 * sum(sizes[merged - 1 :]) >= sizes[merged - 2]:
+                merged -= 1
+            if merged < len(parts):
+                parts[merged - 1 :] = [saved(_union(parts[merged - 1 :]), "merged")]
+                sizes[merged - 1 :] = [sum(sizes[merged - 1 :])]
         return n
 
     def publish(self) -> None:
-        """Make this round's rows readable: all of them, and as the delta."""
-        for key, new in self.fresh.items():
-            whole = self.parts[key][0]
-            for part in self.parts[key][1:]:
-                a, b = align(whole, part)
-                whole = a.unionByName(b)
+        """Make this round's rows readable: all of them, as the delta, and those that were there before."""
+        for key in self.fresh:
+            whole = _union(self.parts[key])
             self.catalog.sources[key] = Source(lambda df=whole: df, whole.schema, writable=True)
         self.delta = dict(self.fresh)
-        self.catalog.versions = {(k, "delta"): df for k, df in self.delta.items()}
+        self.old = {k: self.old_rows[k] if k in self.old_rows else df.limit(0) for k, df in self.delta.items()}
+        self.catalog.versions = {(k, "delta"): df for k, df in self.delta.items()} | {(k, "old"): df for k, df in self.old.items()}
+        self.shared = {}
+
+    def begin(self) -> None:
+        self.fresh, self.old_rows = {}, {}
+
 
-    fresh: dict[Key, DataFrame] = {}
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        a, b = align(whole, part)
+        whole = a.unionByName(b)
+    return whole
 
 
 def _fact(pred: str, columns: list[Column]) -> Column:
@@ -296,6 +378,8 @@ def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = Non
         layers = [rules]
     strata_ = [_prepared(layer, o) for layer in layers] if layers is not None else _layers(prepared, o)
     lineage: list[DataFrame] = []
+    result.strata = [[r.label or "" for r in layer] for layer in strata_]
+    result.settings = {f.name: getattr(o, f.name) for f in fields(o) if getattr(o, f.name) != f.default}
     for depth, layer in enumerate(strata_):
         names = {i: f"{r.label}.{depth}.{i}" for i, r in enumerate(layer)}
         state = _Round(catalog, o, names)
@@ -304,7 +388,8 @@ def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = Non
         step = 0
         if changed is not None:
             state.delta = dict(changed)
-            catalog.versions = {(k, "delta"): df for k, df in changed.items()}
+            state.old = {k: without(catalog.find(k).frame(), df) for k, df in changed.items()}
+            catalog.versions = {(k, "delta"): df for k, df in changed.items()} | {(k, "old"): df for k, df in state.old.items()}
         while True:
             if o.max_steps is not None and result.steps >= o.max_steps:
                 result.stopped = "step limit"
@@ -319,22 +404,20 @@ def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = Non
                 result.stopped = "interrupted"
                 break
             due = _due(layer, o, last, graph, state)
+            state.begin()
             if not due:
                 result.stopped = "no rules to apply" if not layer else "no new facts"
                 break
-            made: dict[Key, list[DataFrame]] = {}
             fired: dict[Key, set[int]] = {}
-            for i in due:
-                for rel in state.triggers(layer[i], step == 0 and changed is None):
-                    for key, df in state.heads(layer[i], rel, i, result.steps):
-                        made.setdefault(key, []).append(df)
-                        fired.setdefault(key, set()).add(i)
-            state.fresh = {}
-            if o.applier == "multi_thread" and len(made) > 1:
-                with ThreadPoolExecutor(min(32, len(made))) as pool:
-                    counts = dict(zip(made, pool.map(lambda k: state.store(k, made[k]), made), strict=True))
-            else:
-                counts = {key: state.store(key, dfs) for key, dfs in made.items()}
+            try:
+                with _cancelled_by(o.stop, catalog):
+                    counts = _apply(state, layer, due, step == 0 and changed is None, result.steps, fired)
+            except Exception:
+                if o.stop is None or not o.stop.is_set():
+                    raise
+                # the round's rows were not published: the catalog is that of the round before
+                result.stopped = "interrupted"
+                break
             result.steps += 1
             step += 1
             state.publish()
@@ -345,7 +428,7 @@ def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = Non
             result.applied.append(sorted({layer[i].label or "" for i in last}))
             if o.debug:
                 o.debug(f"step {result.steps}: " + ", ".join(f"{k[0]}/{k[1]} +{n}" for k, n in counts.items() if n))
-            if o.core == "step":
+            if o.core == "step" or o.checker == "equivalent" and any(layer[i].existentials for i in last):
                 _core(catalog)
             if not last:
                 result.stopped = "no new facts"
@@ -356,7 +439,7 @@ def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = Non
             break
         if o.keep is not None:
             _forget(catalog, strata_[depth + 1 :], o.keep, {a.key for r in prepared for a in r.head_atoms})
-    if o.core == "end" or o.checker == "equivalent":
+    if o.core == "end":
         _core(catalog)
     if lineage:
         every = lineage[0]
@@ -366,6 +449,46 @@ def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = Non
     return result
 
 
+def _apply(state: _Round, layer: list[Rule], due: list[int], first: bool, step: int, fired: dict[Key, set[int]]) -> dict[Key, int]:
+    """One round: the number of new rows of each head predicate."""
+    made: dict[Key, list[DataFrame]] = {}
+    for i in due:
+        for rel in state.triggers(layer[i], i, first, layer):
+            for key, df in state.heads(layer[i], rel, i, step):
+                made.setdefault(key, []).append(df)
+                fired.setdefault(key, set()).add(i)
+    if state.options.applier == "multi_thread" and len(made) > 1:
+        with ThreadPoolExecutor(min(32, len(made))) as pool:
+            return dict(zip(made, pool.map(inheritable_thread_target(state.catalog.spark)(lambda k: state.store(k, made[k])), made), strict=True))
+    return {key: state.store(key, dfs) for key, dfs in made.items()}
+
+
+@contextmanager
+def _cancelled_by(stop: threading.Event | None, catalog: Catalog) -> Iterator[None]:
+    """Cancels the running jobs of this thread once the event is set."""
+    if stop is None:
+        yield
+        return
+    context = catalog.spark.sparkContext
+    group, done = f"lodestone-{uuid.uuid4().hex}", threading.Event()
+
+    def watch() -> None:
+        while not done.wait(0.1):
+            if stop.is_set():
+                context.cancelJobGroup(group)
+
+    thread = threading.Thread(target=watch, daemon=True)
+    context.setJobGroup(group, "chase", interruptOnCancel=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)
+
+
 def _core(catalog: Catalog) -> None:
     from lodestone.operators.cores import fold_catalog
 
@@ -408,11 +531,15 @@ def fact_text(pred: str, values: Iterable) -> Column:
     return _fact(pred, [v if isinstance(v, Column) else F.lit(v) for v in values])
 
 
-def ancestors(result: Result, facts: DataFrame, prime: bool = False) -> DataFrame:
-    """(fact, ancestor) for the facts in column `fact`; prime keeps only ancestors that nothing derives."""
-    if result.derivations is None:
+def ancestors(result: Result | Iterable[Result], facts: DataFrame, prime: bool = False) -> DataFrame:
+    """(fact, ancestor) for the facts in column `fact`; prime keeps only ancestors that nothing derives.
+
+    Of several results, as of federated sources saturated apart, the derivations are followed together.
+    """
+    known = [r.derivations for r in ([result] if isinstance(result, Result) else result)]
+    if not known or any(d is None for d in known):
         raise PlanError("the chase kept no lineage")
-    edges = result.derivations.where("body IS NOT NULL").select("head", "body").distinct()
+    edges = _union([d.where("body IS NOT NULL").select("head", "body") for d in known]).toDF("head", "body").distinct()
     reach = saved(facts.select(F.col("fact").cast("string")).distinct().join(edges, F.col("fact") == F.col("head")).select("fact", F.col("body").alias("ancestor")).distinct(), "ancestors")
     front = reach
     while True:
