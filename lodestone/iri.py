@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 # Fixed value: the reference pattern of RFC 3986, appendix B.
@@ -108,27 +109,89 @@ def _percents(text: str) -> str:
     return re.sub(r"%([0-9A-Fa-f]{2})", lambda m: c if (c := chr(int(m[1], 16))) in _UNRESERVED else m[0].upper(), text)
 
 
-NORMALISATIONS = ("string", "case", "character", "percent", "path", "scheme", "syntax")
+def _percents_of_any_script(text: str) -> str:
+    """Escapes in upper case; runs that are UTF-8 of letters and digits of any script decoded too."""
+
+    def decoded(m: re.Match) -> str:
+        try:
+            plain = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
+        except UnicodeDecodeError:
+            return m[0].upper()
+        return "".join(c if c in _UNRESERVED or ord(c) >= 0xA0 and c.isalnum() else "".join(f"%{b:02X}" for b in c.encode()) for c in plain)
+
+    return re.sub(r"(?:%[0-9A-Fa-f]{2})+", decoded, text)
+
+
+def _string(iri: IRI) -> IRI:
+    return iri
+
+
+def _character(iri: IRI) -> IRI:
+    return IRI.parse(unicodedata.normalize("NFC", str(iri)))
+
+
+def _case(iri: IRI) -> IRI:
+    return replace(iri, scheme=iri.scheme and iri.scheme.lower(), authority=iri.authority and _lower_host(iri.authority))
+
+
+def _each_part(change: Callable[[str], str]) -> Callable[[IRI], IRI]:
+    return lambda iri: replace(iri, path=change(iri.path), query=iri.query and change(iri.query), fragment=iri.fragment and change(iri.fragment))
+
+
+def _path(iri: IRI) -> IRI:
+    return replace(iri, path=without_dots(iri.path)) if iri.scheme else iri
+
+
+def _scheme(iri: IRI) -> IRI:
+    """Default ports and empty paths."""
+    if iri.authority is None:
+        return iri
+    host, _, port = iri.authority.rpartition(":")
+    return replace(iri, authority=host if host and (port == _PORTS.get(iri.scheme or "") or port == "") else iri.authority, path=iri.path or "/")
+
+
+_SYNTAX = ("character", "case", "percent", "path")
+#: What each name stands for: itself, or the steps it is made of.
+NORMALISATIONS = {"string": ("string",), "case": ("case",), "character": ("character",), "percent": ("percent",), "path": ("path",), "syntax": _SYNTAX, "scheme": (*_SYNTAX, "scheme")}
+
+
+@dataclass(frozen=True)
+class Normaliser:
+    """Normalisations one after another; `extended` decodes escapes of letters of any script, not of ASCII only."""
+
+    steps: tuple[str, ...] = _SYNTAX
+    extended: bool = False
+
+    @classmethod
+    def of(cls, *kinds: str, extended: bool = False) -> Normaliser:
+        if unknown := [k for k in kinds if k not in NORMALISATIONS]:
+            raise ValueError(f"no normalisation {', '.join(unknown)}")
+        return cls(tuple(dict.fromkeys(s for k in kinds for s in NORMALISATIONS[k])), extended)
+
+    def __add__(self, other: Normaliser) -> Normaliser:
+        return Normaliser(tuple(dict.fromkeys((*self.steps, *other.steps))), self.extended or other.extended)
+
+    def __call__(self, text: str | IRI) -> str:
+        made = {"string": _string, "character": _character, "case": _case, "path": _path, "scheme": _scheme, "percent": _each_part(_percents_of_any_script if self.extended else _percents)}
+        iri = IRI.parse(text) if isinstance(text, str) else text
+        for step in self.steps:
+            iri = made[step](iri)
+        return str(iri)
 
 
 def normalise(text: str, kind: str = "syntax") -> str:
-    """One normalisation, or "syntax": case, character, percent and path together; "scheme" adds default ports and empty paths."""
-    if kind not in NORMALISATIONS:
-        raise ValueError(f"no normalisation {kind}")
-    iri = IRI.parse(text)
-    if kind in ("character", "syntax", "scheme"):
-        iri = IRI.parse(unicodedata.normalize("NFC", str(iri)))
-    if kind in ("case", "syntax", "scheme"):
-        iri = replace(iri, scheme=iri.scheme and iri.scheme.lower(), authority=iri.authority and _lower_host(iri.authority))
-    if kind in ("percent", "syntax", "scheme"):
-        iri = replace(iri, path=_percents(iri.path), query=iri.query and _percents(iri.query), fragment=iri.fragment and _percents(iri.fragment))
-    if kind in ("path", "syntax", "scheme") and iri.scheme:
-        iri = replace(iri, path=without_dots(iri.path))
-    if kind == "scheme" and iri.authority is not None:
-        host, _, port = iri.authority.rpartition(":")
-        authority = host if host and (port == _PORTS.get(iri.scheme or "") or port == "") else iri.authority
-        iri = replace(iri, authority=authority, path=iri.path or "/")
-    return str(iri)
+    """One normalisation, or "syntax": character, case, percent and path together; "scheme" adds default ports and empty paths."""
+    return Normaliser.of(kind)(text)
+
+
+# plain functions over texts
+def is_absolute(text: str) -> bool:
+    return IRI.parse(text).is_absolute
+
+
+def resolve(reference: str, base: str | None) -> str:
+    """The reference against a base; without a base it stays as it is."""
+    return str(IRI.parse(base).resolve(reference)) if base else reference
 
 
 def _lower_host(authority: str) -> str:

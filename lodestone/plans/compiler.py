@@ -8,6 +8,7 @@ join only if nothing is connected.  Join strategies and orders inside stay with
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass, field
 
@@ -512,3 +513,20 @@ def _distinct_names(names: list[str]) -> list[str]:
             new = f"{n}_{k}"
         out.append(new)
     return out
+
+
+def upper_bound(catalog: Catalog, f) -> int | None:
+    """Upper bound of a formula's answers: a conjunction multiplies and 0 wins, a disjunction adds,
+    negations, comparisons and functions count as 1; None where a part has no known size."""
+    if isinstance(f, Atom):
+        source = catalog.find(f.key)
+        return 0 if source is None else source.rows()
+    if isinstance(f, Exists):
+        return upper_bound(catalog, f.part)
+    if isinstance(f, And):
+        parts = [upper_bound(catalog, p) for p in f.parts]
+        return 0 if 0 in parts else None if None in parts else math.prod(parts)
+    if isinstance(f, Or):
+        parts = [upper_bound(catalog, p) for p in f.parts]
+        return None if None in parts else sum(parts)
+    return 1

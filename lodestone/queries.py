@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -11,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
-from lodestone.operators.chase import ancestors, certain, fact_text
+from lodestone.operators.chase import ancestors, certain, chase, fact_text
+from lodestone.operators.union import UnionQuery
 from lodestone.runtime import shared_dir
 from lodestone.sources import files, views
 from lodestone.sources.catalog import frame_source
+from lodestone.sources.stores import StorageBuilder
+from lodestone.syntax import Atom, Query
+from lodestone.terms import Var
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations", "benchmark", "pages")
 
@@ -42,7 +45,7 @@ PLAIN: dict[str, tuple[str, str, str]] = {
     "or_two_sources": ("?(N) :- customer(C, A, N, B, S) | supplier(U, V, N, W).", "nation", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier"),
     "or_nested": ('?(N) :- nation(K, N, R), (region(R, "ASIA") | region(R, "EUROPE"), K > 10).', "n_name", "SELECT DISTINCT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' OR (r_name = 'EUROPE' AND n_nationkey > 10)"),
     "ucq_three": ("?(X) :- region(K, X) | nation(A, X, B) | customer(C, D, E, F, X).", "name", "SELECT r_name AS name FROM region UNION SELECT n_name FROM nation UNION SELECT c_mktsegment FROM customer"),
-    "not_safe": ("?(C) :- customer(C, CN, N, B, S), not orders(O, C, ST, P, D, PR).", "c_custkey", "SELECT DISTINCT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "not_safe": ('?(C) :- customer(C, CN, N, B, S), not (orders(O, C, ST, P, D, PR), D >= "1997-01-01"^^xsd:date, D < "1997-07-01"^^xsd:date).', "c_custkey", "SELECT DISTINCT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1997-07-01')"),
     "not_nested": ('?(C) :- customer(C, CN, N, B, S), not (orders(O, C, ST, P, D, PR), not (P > 100000.0)).', "c_custkey", "SELECT DISTINCT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT o_totalprice > 100000)"),
     "difference": ("?(D) :- documents(D, T, L, S, N), not labels(D, Q, X).", "doc_id", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels"),
     "intersect_cq": ("?(N) :- customer(C, A, N, B, S), supplier(U, V, N, W).", "nation", "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
@@ -60,6 +63,15 @@ PLAIN: dict[str, tuple[str, str, str]] = {
     "fn_stat": ("?(K, A, M) :- nation(K, N, R), stdfct:average(K, R, 4, A), stdfct:median(K, R, 4, 9, M).", "n_nationkey a m", "SELECT DISTINCT n_nationkey, (n_nationkey + n_regionkey + 4) / 3.0::DOUBLE AS a, list_median([n_nationkey, n_regionkey, 4, 9])::DOUBLE AS m FROM nation"),
     "fn_weighted": ("?(K, A) :- nation(K, N, R), stdfct:weightedAverage(K, 1, R, 3, A).", "n_nationkey a", "SELECT DISTINCT n_nationkey, (n_nationkey * 1 + n_regionkey * 3) / 4.0::DOUBLE AS a FROM nation"),
     "fn_convert": ('?(K, I, F, B, S) :- nation(K, N, R), stdfct:replace(N, "NATION_", "", T), stdfct:toInt(T, I), stdfct:toFloat(T, F), stdfct:toBoolean(T, B), stdfct:toString(R, S), stdfct:isNumeric(T, true).', "n_nationkey i f b s", "SELECT DISTINCT n_nationkey, CAST(replace(n_name, 'NATION_', '') AS BIGINT) AS i, CAST(replace(n_name, 'NATION_', '') AS DOUBLE) AS f, replace(n_name, 'NATION_', '') NOT IN ('', 'false', '0') AS b, CAST(n_regionkey AS VARCHAR) AS s FROM nation"),
+    "fn_least": ("?(K, A, B, M) :- nation(K, N, R), stdfct:min(K, R, 7, A), stdfct:max(K, R, 7, B), stdfct:weightedMedian(K, 1, R, 2, M).", "n_nationkey a b m", "SELECT DISTINCT n_nationkey, CAST(least(n_nationkey, n_regionkey, 7) AS BIGINT) AS a, CAST(greatest(n_nationkey, n_regionkey, 7) AS BIGINT) AS b, n_regionkey::DOUBLE AS m FROM nation"),
+    "fn_minus": ("?(K, A, B) :- nation(K, N, R), stdfct:minus(K, R, 2, A), stdfct:divide(K, 8, B).", "n_nationkey a b", "SELECT DISTINCT n_nationkey, CAST(n_nationkey - n_regionkey - 2 AS BIGINT) AS a, n_nationkey / 8.0::DOUBLE AS b FROM nation"),
+    "fn_power_exact": ("?(K, V) :- nation(K, N, R), stdfct:sum(R, 31, E), stdfct:power(3, E, V).", "n_nationkey v", "SELECT DISTINCT n_nationkey, CAST(list_reduce(list_transform(range(0, n_regionkey + 31), lambda i: 3::HUGEINT), lambda a, b: a * b) AS BIGINT) AS v FROM nation"),
+    "fn_order": ("?(K, A, B, C, D, E) :- nation(K, N, R), stdfct:isGreaterThan(K, R, A), stdfct:isGreaterOrEqualsTo(K, R, B), stdfct:isSmallerThan(K, 3, C), stdfct:isSmallerOrEqualsTo(K, 3, D), stdfct:equals(K, R, E).", "n_nationkey a b c d e", "SELECT DISTINCT n_nationkey, n_nationkey > n_regionkey AS a, n_nationkey >= n_regionkey AS b, n_nationkey < 3 AS c, n_nationkey <= 3 AS d, n_nationkey = n_regionkey AS e FROM nation"),
+    "fn_lex_order": ('?(N, A, B, C) :- nation(K, N, R), stdfct:isLexicographicallyGreaterOrEqualsTo(N, "NATION_2", A), stdfct:isLexicographicallySmallerThan(N, "NATION_2", B), stdfct:isLexicographicallySmallerOrEqualsTo(N, "NATION_2", C).', "n_name a b c", "SELECT DISTINCT n_name, n_name >= 'NATION_2' AS a, n_name < 'NATION_2' AS b, n_name <= 'NATION_2' AS c FROM nation"),
+    "fn_blank": ('?(K, A, B, S) :- nation(K, N, R), stdfct:replace(N, "NATION_1", "", T), stdfct:isEmpty(T, A), stdfct:isBlank(T, B), stdfct:toStringWithDatatype(1, S).', "n_nationkey a b s", "SELECT DISTINCT n_nationkey, replace(n_name, 'NATION_1', '') = '' AS a, trim(replace(n_name, 'NATION_1', '')) = '' AS b, 'Literal<integer> 1' AS s FROM nation"),
+    "fn_sets": ("?(K, Z, T, A, B, W) :- nation(K, N, R), stdfct:set(K, R, 3, U), stdfct:set(R, 3, V), stdfct:intersection(U, V, I), stdfct:size(I, Z), stdfct:toTuple(U, X), stdfct:size(X, T), stdfct:isSubset(V, U, A), stdfct:isStrictSubset(V, U, B), stdfct:toSet(stdfct:tuple(K, R, K), Y), stdfct:size(Y, W).", "n_nationkey z t a b w", "SELECT DISTINCT n_nationkey, CAST(len(list_distinct([n_regionkey, 3])) AS BIGINT) AS z, CAST(len(list_distinct([n_nationkey, n_regionkey, 3])) AS BIGINT) AS t, TRUE AS a, n_nationkey NOT IN (n_regionkey, 3) AS b, CAST(len(list_distinct([n_nationkey, n_regionkey])) AS BIGINT) AS w FROM nation"),
+    "fn_dicts": ('?(K, Z, H, F, V) :- nation(K, N, R), stdfct:dict(stdfct:tuple("name", N), stdfct:tuple("kind", "old"), D), stdfct:dict(stdfct:tuple("kind", "new"), E), stdfct:mergeDicts(D, E, M), stdfct:dictKeys(M, Q), stdfct:size(Q, Z), stdfct:containsValue(M, N, H), stdfct:dictValues(M, W), stdfct:contains(W, "new", F), stdfct:get(M, "kind", V).', "n_nationkey z h f v", "SELECT DISTINCT n_nationkey, CAST(2 AS BIGINT) AS z, TRUE AS h, TRUE AS f, 'new' AS v FROM nation"),
+    "anonymous_null": ("?(D) :- documents(D, _, _, S, _).", "doc_id", "SELECT DISTINCT doc_id FROM documents WHERE source IS NOT NULL"),
     "fn_nested_terms": ("?(K) :- nation(K, N, R), nation(K2, N2, R2), K2 = stdfct:sum(K, stdfct:product(R, 2)), R2 != R.", "n_nationkey", "SELECT DISTINCT a.n_nationkey FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + a.n_regionkey * 2 AND b.n_regionkey <> a.n_regionkey"),
 }
 
@@ -162,9 +174,16 @@ def _udf_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _view_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON web source declared by a view document; its answer is a folder of JSON lines."""
+    path = _folder(spark, "json")
+    given = F.from_json("props", "map<string,string>")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_json(F.struct(F.col("event_id").alias("id"), given.alias("about")))).write.text(path)
+    document = {
+        "datasources": [{"id": "api", "protocol": "JSONWebAPI", "parameters": {"url": path, "lines": True}}],
+        "views": [{"id": "prop", "datasource": "api", "query": "", "position": "$", "signature": [{"selection": "$.id", "type": "bigint"}, {"selection": "$.about.k", "type": "bigint", "ifMissing": "IGNORE"}]}],
+    }
     e = Engine(spark)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    e.catalog.add("prop", frame_source(events.select("event_id", views.json_column(F.col("props"), "$.k").cast("bigint").alias("k"))))
+    views.add_views(e.catalog, views.read_document(json.dumps(document)))
     return e.ask("?(E, K) :- prop(E, K), K < 50.", ["event_id", "k"])
 
 
@@ -226,7 +245,8 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rls_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest on the driver that names a CSV file; for local masters, where both are the same disk."""
-    folder = Path(tempfile.mkdtemp(prefix="lodestone-"))
+    folder = Path(_folder(spark, "rls").removeprefix("file:"))
+    folder.mkdir(parents=True)
     rows = spark.read.parquet(f"{sf_dir}/region.parquet").collect()
     (folder / "regions.csv").write_text("".join(f"{r.r_regionkey},{r.r_name}\n" for r in rows), encoding="utf-8")
     (folder / "all.rls").write_text('@source reg[2]: load-csv("regions.csv").\n', encoding="utf-8")
@@ -279,6 +299,8 @@ _REACH_SQL = "SELECT DISTINCT a.conv_id, a.turn AS t, b.turn AS u FROM conversat
 _GRAPH = "edge(A, B) :- nation(A, X, R), nation(B, Y, S), B = A + 5. "
 _EDGES = "WITH RECURSIVE edge AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5), reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a) "
 _REACH = _GRAPH + "path(A, B) :- edge(A, B). path(A, C) :- path(A, B), edge(B, C)."
+_TENS = _REACH.replace("A + 5", "A + 10")
+_TENS_SQL = _EDGES.replace("+ 5", "+ 10")
 
 
 def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,6 +312,92 @@ def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("ancestor").startswith("edge(")).select(F.count(F.lit(1)).alias("n_edges"))
 
 
+def _chase_held(checker: str, renamer: str):
+    """How many facts a rule with an existential head creates for customers' nations."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Engine.over(spark, sf_dir, "customer")
+        e.load("held(N, Z) :- customer(C, _, N, _, S).")
+        return e.chase(checker=checker, renamer=renamer).frame("held", 2).groupBy().agg(F.count(F.lit(1)).alias("n"))
+
+    return run
+
+
+_SEATS_SQL = "SELECT (SELECT count(DISTINCT (s_nationkey, s_suppkey)) FROM supplier) + (SELECT count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)) AS n"
+
+
+def _chase_seats(**options):
+    """Facts left where a null beside a known supplier folds onto it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Engine.over(spark, sf_dir, "nation", "supplier")
+        e.load("seat(N, P) :- supplier(P, A, N, B). seat(N, Z) :- nation(N, X, R).")
+        return e.chase(**options).frame("seat", 2).groupBy().agg(F.count(F.lit(1)).alias("n"))
+
+    return run
+
+
+def _external_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strata given from outside."""
+    e = Engine.over(spark, sf_dir, "customer", "nation")
+    e.load("rich(N) :- customer(C, A, N, B, S), B > 9000.0. poor(N) :- nation(N, X, R), not rich(N).")
+    return chase(e.catalog, e.rules, layers=[[e.rules[0]], [e.rules[1]]]).frame("poor", 1).select(F.col("c0").alias("n"))
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine.over(spark, sf_dir, "customer", "nation")
+    return spark.createDataFrame([(e.count("?(C, NN) :- customer(C, A, N, B, S), nation(N, NN, R)."),)], "n long")
+
+
+def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine.over(spark, sf_dir, "customer", "nation", "region")
+    bounds = [e.estimate(q) for q in ("?(C) :- customer(C, A, N, B, S), nation(N, NN, R), B > 0.0.", "?(X) :- nation(A, X, B) | region(C, X).", "?(C) :- customer(C, A, N, B, S), unknown(N).")]
+    return spark.createDataFrame([tuple(bounds)], "joined long, united long, nothing long")
+
+
+def _union_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with different answer variables, united by position."""
+    e = Engine.over(spark, sf_dir, "customer", "supplier", "nation")
+    parts = [UnionQuery.of(e.parse_query(q)) for q in ("?(N, A) :- customer(C, A, N, B, S).", "?(K, X) :- supplier(U, X, K, W).", "?(P, Q) :- nation(P, Q, R).")]
+    return e.ask(parts[0] | parts[1] | parts[2], ["k", "n"])
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts written twice to a SQLite store in the encoded layout and read by a query."""
+    path = Path(_folder(spark, "store").removeprefix("file:"))
+    path.parent.mkdir(parents=True, exist_ok=True)
+    store = StorageBuilder().use_sqlite(f"{path}.db").layout("encoded").build(spark)
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    e = Engine(spark)
+    e.catalog.store = store
+    for rows in (nation.where("n_nationkey < 15"), nation):
+        e.catalog.insert(("known place", 2), rows.select("n_nationkey", "n_name"))
+    back = Engine(spark)
+    back.catalog.store = store
+    return back.ask(Query((Var("N"), Var("X")), Atom("known place", (Var("N"), Var("X")))), ["n", "name"])
+
+
+def _turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Path(_folder(spark, "turtle").removeprefix("file:"))
+    path.mkdir(parents=True)
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
+    (path / "all.ttl").write_text("@prefix x: <http://x/> .\n" + "".join(f'x:n{r.n_nationkey} x:name "{r.n_name}" .\n' for r in rows), encoding="utf-8")
+    e = Engine(spark)
+    e.load_file(str(path / "all.ttl"))
+    out = e.ask("?(S, O) :- <http://x/name>(S, O).", ["s", "o"])
+    return out.select(F.col("s.v").alias("s"), F.col("o.v").alias("o"))
+
+
+def _csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a header each, and rows that equal it."""
+    path = _folder(spark, "headed")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("CAST(n_nationkey AS STRING) AS k", "n_name AS n")
+    nation.repartition(3, "k").unionByName(nation).write.option("header", True).csv(path)
+    e = Engine(spark)
+    files.add_csv(e.catalog, path, "nation", files.CsvOptions(header_rows=1))
+    return e.ask("?(K, N) :- nation(K, N).", ["k", "n"])
+
+
 OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "cq_initial_binding": (_initial_binding, "SELECT DISTINCT c_custkey, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey IN (3, 7, 11)"),
     "not_unsafe": (_not_unsafe, "SELECT r_regionkey FROM region EXCEPT SELECT n_regionkey FROM nation WHERE n_nationkey < 3"),
@@ -315,7 +423,7 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "chase_tc_two_step": (_rules("nation", _REACH, "?(A, B) :- path(A, B).", "a b", computer="two_steps"), _EDGES + "SELECT a, b FROM reach"),
     "chase_tc_grd": (_rules("nation", _REACH, "?(A, B) :- path(A, B).", "a b", scheduler="grd", applier="multi_thread"), _EDGES + "SELECT a, b FROM reach"),
     "chase_mutual": (_rules("nation", _GRAPH + "odd(A, B) :- edge(A, B). even(A, C) :- odd(A, B), edge(B, C). odd(A, C) :- even(A, B), edge(B, C).", "?(A, B) :- even(A, B).", "a b"), _EDGES.replace("SELECT a, b FROM edge UNION", "SELECT e.a, f.b FROM edge e JOIN edge f ON e.b = f.a UNION").replace("SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a", "SELECT r.a, f.b FROM reach r JOIN edge e ON r.b = e.a JOIN edge f ON e.b = f.a") + "SELECT a, b FROM reach"),
-    "chase_stratified_neg": (_rules("nation", _REACH + " apart(A, B) :- nation(A, X, R), nation(B, Y, R), A < B, not path(A, B).", "?(A, B) :- apart(A, B).", "a b"), _EDGES + "SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey EXCEPT SELECT a, b FROM reach"),
+    "chase_stratified_neg": (_rules("nation", _TENS + " apart(A, B) :- nation(A, X, R), nation(B, Y, R), A < B, not path(A, B).", "?(A, B) :- apart(A, B).", "a b"), _TENS_SQL + "SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey EXCEPT SELECT a, b FROM reach"),
     "chase_step_limit": (_rules("nation", _REACH, "?(A, B) :- path(A, B).", "a b", max_steps=3, stratification="none"), "WITH edge AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5) SELECT a, b FROM edge UNION SELECT e.a, f.b FROM edge e JOIN edge f ON e.b = f.a"),
     "chase_exist_count": (_chase_count("semi_oblivious"), "SELECT (SELECT count(DISTINCT (c_nationkey, c_custkey)) FROM customer WHERE c_acctbal > 5000) + (SELECT count(DISTINCT n_nationkey) FROM nation) AS n"),
     "chase_restricted_count": (_rules("nation customer", "served(N, C) :- customer(C, A, N, B, S), B > 9900.0. covered(N) :- served(N, C). open(N, Z) :- nation(N, X, R), not covered(N).", "?(N) :- open(N, Z).", "n", checker="restricted"), "SELECT n_nationkey AS n FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900"),
@@ -326,7 +434,24 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "compiled_hier": (_compiled("hierarchical", "region", "place(K, N) :- region(K, N). spot(K, N) :- place(K, N).", "?(N) :- spot(K, N).", "n"), "SELECT DISTINCT r_name AS n FROM region"),
     "compiled_id": (_compiled("id", "nation region", "named(N, K) :- region(K, N). named(N, K) :- nation(K, N, R). pair(K, K) :- named(N, K).", "?(K) :- pair(K, K).", "k"), "SELECT r_regionkey AS k FROM region UNION SELECT n_nationkey FROM nation"),
     "constraint_violation": (_violation, "SELECT 'poor' AS name, EXISTS (SELECT 1 FROM customer WHERE c_acctbal < 0) AS broken UNION ALL SELECT 'rich', EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 100000)"),
-    "lineage_ancestors": (_lineage, "SELECT CAST(4 AS BIGINT) AS n_edges"),
+    "lineage_ancestors": (_lineage, _EDGES + "SELECT count(*) AS n_edges FROM edge e WHERE (e.a = 0 OR EXISTS (SELECT 1 FROM reach r WHERE r.a = 0 AND r.b = e.a)) AND (e.b = 20 OR EXISTS (SELECT 1 FROM reach r WHERE r.a = e.b AND r.b = 20))"),
+    "chase_oblivious_count": (_chase_held("oblivious", "body"), "SELECT count(*) AS n FROM (SELECT DISTINCT c_custkey, c_nationkey, c_mktsegment FROM customer)"),
+    "chase_semi_oblivious_count": (_chase_held("semi_oblivious", "body"), "SELECT count(DISTINCT c_nationkey) AS n FROM customer"),
+    "chase_frontier_count": (_chase_held("semi_oblivious", "frontier"), "SELECT count(DISTINCT c_nationkey) AS n FROM customer"),
+    "chase_fresh_count": (_chase_held("so_restricted", "fresh"), "SELECT count(DISTINCT c_nationkey) AS n FROM customer"),
+    "chase_piece_count": (_chase_held("semi_oblivious", "frontier_by_piece"), "SELECT count(DISTINCT c_nationkey) AS n FROM customer"),
+    "chase_skolem_count": (_chase_held("semi_oblivious", "frontier_true"), "SELECT count(DISTINCT c_nationkey) AS n FROM customer"),
+    "chase_equivalent": (_chase_seats(checker="equivalent"), _SEATS_SQL),
+    "chase_core": (_chase_seats(core="end"), _SEATS_SQL),
+    "chase_shared_body": (_rules("customer", "held(N, S), kind(S), at(N) :- customer(C, A, N, B, S). busy(N) :- customer(C, A, N, B, S).", "?(N, S) :- held(N, S), kind(S), at(N), busy(N).", "n s"), "SELECT DISTINCT c_nationkey AS n, c_mktsegment AS s FROM customer"),
+    "chase_external_strata": (_external_strata, "SELECT n_nationkey AS n FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000"),
+    "chase_atom_limit": (_rules("nation", _REACH, "?(A, B) :- edge(A, B).", "a b", max_atoms=30, stratification="none"), "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5"),
+    "answers_counted": (_counted, "SELECT count(*) AS n FROM (SELECT DISTINCT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)"),
+    "answers_estimated": (_estimated, "SELECT (SELECT count(*) FROM customer) * (SELECT count(*) FROM nation) AS joined, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS united, CAST(0 AS BIGINT) AS nothing"),
+    "union_aligned": (_union_aligned, "SELECT c_nationkey AS k, c_name AS n FROM customer UNION SELECT s_nationkey, s_name FROM supplier UNION SELECT n_nationkey, n_name FROM nation"),
+    "store_insert": (_stored, "SELECT n_nationkey AS n, n_name AS name FROM nation"),
+    "rdf_turtle": (_turtle, "SELECT 'http://x/n' || n_nationkey AS s, n_name AS o FROM nation"),
+    "csv_headers": (_csv_headers, "SELECT DISTINCT CAST(n_nationkey AS VARCHAR) AS k, n_name AS n FROM nation"),
 }
 
 

@@ -22,6 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_FALLBACK
 
 
+#: Paths of the tables that `saved` has written in this process, in order.
+_WRITTEN: list[str] = []
+
+
+def saved_so_far() -> int:
+    return len(_WRITTEN)
+
+
+def drop_saved(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables saved after the first `since`, before the JVM's end; how many were there."""
+    paths, n = _WRITTEN[since:], 0
+    for path in filter(None, paths):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        n += where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN[since:] = [""] * len(paths)
+    return n
+
+
 def saved(df: DataFrame, label: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -31,6 +49,7 @@ def saved(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,12 @@ class Source:
     fetch: Callable[[DataFrame], DataFrame] | None = None
     writable: bool = False
     origin: str = "memory"
+    #: Takes rows that are to be added, if the source keeps them elsewhere than in a plan.
+    write: Callable[[DataFrame], None] | None = None
+
+    def rows(self) -> int | None:
+        """Number of rows; Parquet counts from its footers.  Unknown where bindings are needed."""
+        return None if self.load is None else self.frame().count()
 
     def frame(self) -> DataFrame:
         if self.load is None:
@@ -38,6 +45,14 @@ class Source:
         return self.load()
 
 
+class Store(Protocol):
+    """Facts kept in a database: a source per predicate, and idempotent insertion."""
+
+    def source(self, key: Key) -> Source | None: ...
+
+    def add(self, key: Key, df: DataFrame) -> None: ...
+
+
 def positional(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
@@ -79,6 +94,8 @@ class Catalog:
     dynamic: list[Callable[[Key], Source | None]] = field(default_factory=list)
     default_sink: bool = True
     aliases: dict[Key, Callable[[], DataFrame]] = field(default_factory=dict)
+    #: Where predicates without a source of their own are read from and written to.
+    store: Store | None = None
 
     # reading
     def add(self, name: str, source: Source | DataFrame, arity: int | None = None) -> Catalog:
@@ -117,6 +134,8 @@ class Catalog:
                 if found := ask(key):
                     self.sources[key] = found
                     break
+        if key not in self.sources and self.store is not None and (found := self.store.source(key)):
+            self.sources[key] = found
         return self.sources.get(key)
 
     def schema(self, atom: Atom) -> T.StructType | None:
@@ -152,6 +171,9 @@ class Catalog:
         """Add rows that are not there yet; the sink is the predicate's own source or a new frame."""
         df = positional(df).distinct() if key[1] else df.limit(1)
         source = self.find(key)
+        if source is None and self.store is not None and key[1]:
+            self.store.add(key, df)
+            return
         if source is None:
             if not self.default_sink:
                 raise KeyError(f"{key[0]}/{key[1]} has no sink")
@@ -161,6 +183,9 @@ class Catalog:
             raise TypeError(f"{key[0]}/{key[1]} is read-only")
         if not key[1]:
             return
+        if source.write:
+            source.write(df)
+            return
         old, new = align(source.frame(), df)
         both = old.unionByName(new).distinct()
         self.sources[key] = Source(lambda: both, both.schema, writable=True)
@@ -193,7 +218,7 @@ class Catalog:
         return next((f"{t} is a variable" for t in atom.terms if isinstance(t, Var)), None)
 
     def copy(self) -> Catalog:
-        return Catalog(self.spark, dict(self.sources), dict(self.functions), dict(self.versions), list(self.dynamic), self.default_sink, dict(self.aliases))
+        return Catalog(self.spark, dict(self.sources), dict(self.functions), dict(self.versions), list(self.dynamic), self.default_sink, dict(self.aliases), self.store)
 
     def count(self) -> int:
         return sum(s.frame().count() for s in self.sources.values() if s.load)

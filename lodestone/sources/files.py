@@ -7,12 +7,14 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.iri import IRIManager
 from lodestone.plans.encoding import TERM, PlanError, is_term, term_struct, to_term
+from lodestone.runtime import saved
 from lodestone.sources.catalog import Catalog, positional
 from lodestone.sources.rdf_documents import parse_jsonld, parse_rdfxml
 from lodestone.terms import RDF, XSD
@@ -271,21 +273,34 @@ def parse_turtle(text: str, base: str | None = None) -> list[tuple[tuple, tuple,
     return out
 
 
-#: Formats that are read whole on the driver.
+#: Formats that only a whole file makes sense of: one task for each file.
 _DOCUMENTS = {".ttl": parse_turtle, ".n3": parse_turtle, ".trig": parse_turtle, ".rdf": parse_rdfxml, ".xml": parse_rdfxml, ".jsonld": parse_jsonld}
 
 
 def read_rdf(spark: SparkSession, path: str) -> DataFrame:
-    """s, p, o as TERM; N-Triples and N-Quads distributed, other formats read on the driver."""
+    """s, p, o as TERM from a file or files of one suffix; N-Triples and N-Quads line by line, other formats file by file on the executors."""
     suffix = Path(path).suffix.lower()
     if suffix in (".nt", ".nq"):
         return read_ntriples(spark, path)
     if suffix in _DOCUMENTS:
-        schema = T.StructType([T.StructField(n, TERM) for n in "spo"])
-        return spark.createDataFrame(_DOCUMENTS[suffix](Path(path).read_text(encoding="utf-8")), schema)
+        parse, names = _DOCUMENTS[suffix], TERM.names
+        kind = pa.struct([(n, pa.string()) for n in names])
+
+        def run(batches):
+            for batch in batches:
+                for text in batch.column("value").to_pylist():
+                    rows = parse(text)
+                    yield pa.RecordBatch.from_arrays([pa.array([dict(zip(names, r[i], strict=True)) for r in rows], kind) for i in range(3)], names=list("spo"))
+
+        return spark.read.text(path, wholetext=True).mapInArrow(run, T.StructType([T.StructField(n, TERM) for n in "spo"]))
     raise PlanError(f"{suffix} files cannot be read")
 
 
+def _by_property(triples: DataFrame) -> DataFrame:
+    """The triples written once in the order of their properties, so that a scan for one reads its row groups only."""
+    return saved(triples.repartitionByRange("p.v", "s.v").sortWithinPartitions("p.v"), "triples")
+
+
 RDF_MODES = ("raw", "natural", "natural_full")
 
 
@@ -296,7 +311,7 @@ def add_rdf(catalog: Catalog, triples: DataFrame, mode: str = "natural_full") ->
     if mode == "raw":
         catalog.add("triple", positional(triples))
         return ["triple"]
-    names = []
+    names, triples = [], _by_property(triples)
     # the vocabulary reaches the driver, the triples do not
     for (name,) in triples.select("p.v").distinct().collect():
         own = triples.where(F.col("p.v") == name)
@@ -314,6 +329,8 @@ def triple_store(catalog: Catalog, triples: DataFrame) -> None:
     """Unary and binary predicates looked up in one triples frame on demand."""
     from lodestone.sources.catalog import Source
 
+    triples = _by_property(triples)
+
     def ask(key):
         name, arity = key
         if arity == 1:

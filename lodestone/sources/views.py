@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import sqlite3
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -21,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.plans.encoding import TERM, PlanError, term_struct, to_term
+from lodestone.plans.encoding import PlanError, term_struct, to_term
 from lodestone.sources.catalog import Catalog, Source, positional
 
+#: Types that a position can be declared with.
+KINDS = ("string", "term", "bigint", "int", "double", "boolean", "date", "timestamp")
 POLICIES = ("IGNORE", "FREEZE", "EXIST", "OPTIONAL")
 
 
@@ -32,6 +35,8 @@ class Position:
     mandatory: str | None = None
     missing: str = "DEFAULT"
     selection: str | None = None
+    #: Type of the position: a Spark type, or "term" for text whose form tells its kind.
+    type: str = "string"
 
 
 @dataclass(frozen=True)
@@ -79,7 +84,9 @@ def read_document(text: str, base: str = ".") -> Document:
             policy = str(p.get("ifMissing", "DEFAULT")).upper()
             if policy not in (*POLICIES, "DEFAULT"):
                 problems.append(f"view {v.get('id')}: no policy {policy}")
-            signature.append(Position(p.get("mandatory"), policy, p.get("selection")))
+            if p.get("type", "string") not in KINDS:
+                problems.append(f"view {v.get('id')}: no type {p['type']}")
+            signature.append(Position(p.get("mandatory"), policy, p.get("selection"), p.get("type", "string")))
         views.append(View(v.get("id"), v.get("datasource"), tuple(signature), query, v.get("position")))
     if problems:
         raise PlanError("; ".join(problems))
@@ -242,6 +249,9 @@ BACKENDS: dict[str, Callable | None] = {
     "HSQLDB": None,
 }
 
+#: Protocols whose answers are documents that Spark can read itself where they are files.
+PARSERS = {"JSONWebAPI": _json_rows, "SPARQLEndpoint": sparql_rows}
+
 # JDBC URL prefixes and driver classes.
 JDBC = {
     "PostgreSQL": ("jdbc:postgresql://", "org.postgresql.Driver"),
@@ -288,10 +298,12 @@ def _source(catalog: Catalog, view: View, declared: dict, base: str) -> Source:
         schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(probe.fields)])
 
         def fetch(bindings: DataFrame) -> DataFrame:
-            """A dependent join: the view's query as a lateral subquery of the bindings."""
-            bindings.createOrReplaceTempView("lodestone_bindings")
+            """A dependent join: the view's query as a lateral subquery of the bindings, under a name of this call's own."""
+            name = f"lodestone_bindings_{uuid.uuid4().hex}"
+            bindings.createOrReplaceTempView(name)
             inside = ", ".join(f"c{i}" for i in range(len(schema)))
-            out = spark.sql(f"SELECT q.* FROM lodestone_bindings b, LATERAL ({inner}) AS q({inside})")
+            out = spark.sql(f"SELECT q.* FROM {name} b, LATERAL ({inner}) AS q({inside})")
+            spark.catalog.dropTempView(name)  # the plan is resolved
             return handle_missing(out, policies, view.id)
 
         return Source(None, schema, frozenset(mandatory), fetch, origin="view")
@@ -304,12 +316,24 @@ def _source(catalog: Catalog, view: View, declared: dict, base: str) -> Source:
         raise PlanError(f"no backend for {protocol}")
     rows = build(parameters, base)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(view.signature))])
+
+    def typed(df: DataFrame) -> DataFrame:
+        return handle_missing(_typed(df, view), policies, view.id)
+
+    fields = typed(spark.createDataFrame([], schema)).schema
     if not mandatory:
-        def load() -> DataFrame:
-            return handle_missing(spark.createDataFrame(rows(view, {}), schema), policies, view.id)
+        if protocol in PARSERS and not re.match(r"https?:", parameters.get("url", "")):
+            path = parameters.get("url", "") + (view.query or "")
+            path = path if re.match(r"\w+:", path) or Path(path).is_absolute() else str(Path(base) / path)
+            return Source(lambda: typed(_parsed(spark.read.text(path, wholetext=not parameters.get("lines")), view, protocol, schema)), fields, origin="view")
 
-        kinds = [TERM if p in ("EXIST", "OPTIONAL") else T.StringType() for p in policies]
-        return Source(load, T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)]), origin="view")
+        def run_once(batches):
+            for batch in batches:
+                for _ in range(len(batch)):
+                    yield _frame(rows(view, {}), len(schema))
+
+        # one request, on an executor
+        return Source(lambda: typed(spark.range(1).mapInPandas(run_once, schema)), fields, origin="view")
 
     def fetch_rows(bindings: DataFrame) -> DataFrame:
         """One request per distinct binding, on the executors."""
@@ -325,8 +349,39 @@ def _source(catalog: Catalog, view: View, declared: dict, base: str) -> Source:
                         for i, v in zip(order, values, strict=True):
                             full[i] = _plain(v) if full[i] is None else full[i]
                         out.append(full)
-                yield pd.DataFrame(out, columns=[f"c{i}" for i in range(len(view.signature))], dtype=object)
+                yield _frame(out, len(schema))
+
+        return typed(bindings.mapInPandas(run, schema))
+
+    return Source(None, fields, frozenset(mandatory), fetch_rows, origin="view")
 
-        return handle_missing(bindings.mapInPandas(run, schema), policies, view.id)
 
-    return Source(None, schema, frozenset(mandatory), fetch_rows, origin="view")
+def _frame(rows: list, width: int) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[f"c{i}" for i in range(width)], dtype=object)
+
+
+def _parsed(texts: DataFrame, view: View, protocol: str, schema: T.StructType) -> DataFrame:
+    """Rows of documents that Spark reads, a document in each row."""
+    parse = PARSERS[protocol]
+
+    def run(batches):
+        for batch in batches:
+            yield _frame([r for text in batch["value"] if text and text.strip() for r in parse(text, view)], len(schema))
+
+    return texts.mapInPandas(run, schema)
+
+
+def _typed(df: DataFrame, view: View) -> DataFrame:
+    """Positions in their declared types; `term` tells nodes, IRIs, numbers and truth values from other text."""
+    out = []
+    for i, p in enumerate(view.signature):
+        c = F.col(f"c{i}")
+        if p.type == "term":
+            number = F.when(c.rlike(r"^[+-]?\d+$"), term_struct("l", c, "integer")).when(c.rlike(r"^[+-]?(\d+\.\d*|\.?\d+)([eE][+-]?\d+)?$"), term_struct("l", c, "double"))
+            number = number.when(c.isin("true", "false"), term_struct("l", c, "boolean"))
+            node = F.when(c.startswith("_:"), term_struct("n", c)).when(F.lower(c).rlike("^(https?://|urn:)"), term_struct("c", c))
+            c = F.when(c.isNotNull(), F.coalesce(node, number, term_struct("c", c)))
+        elif p.type != "string":
+            c = c.try_cast(p.type)
+        out.append(c.alias(f"c{i}"))
+    return df.select(*out)

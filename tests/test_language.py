@@ -80,3 +80,41 @@ def test_iri_tools():
     assert prepare(" a&amp;b ", "html") == "a&b" and without_dots("/a/./b/../c") == "/a/c"
     with pytest.raises(ValueError):
         IRIManager().set_prefix("x", "c#")
+
+
+def test_normalisers_compose():
+    from lodestone.iri import Normaliser, is_absolute, resolve
+
+    both = Normaliser.of("case") + Normaliser.of("percent")
+    assert both.steps == ("case", "percent") and both("HTTP://A.B/%7e%c3%a9/./x") == "http://a.b/~%C3%A9/./x"
+    assert Normaliser.of("percent", extended=True)("http://a/%c3%a9%20%7e") == "http://a/\u00e9%20~"
+    assert Normaliser.of("scheme")("HTTP://a:80") == "http://a/" and Normaliser.of("string")("HTTP://a:80") == "HTTP://a:80"
+    with pytest.raises(ValueError):
+        Normaliser.of("case", "none")
+    assert is_absolute("a:b") and not is_absolute("b/c") and resolve("../x", "http://a/b/c/d") == "http://a/b/x" and resolve("x", None) == "x"
+
+
+def test_config_and_registry():
+    from lodestone.config import IOConfig, Registry
+
+    io = IOConfig().with_rdf_mode("raw").with_csv(separator=";")
+    assert (io.rdf_mode, io.csv.separator, io.manifest.separator, IOConfig().csv.separator) == ("raw", ";", ";", ",")
+    r = Registry()
+    r.register(int)(lambda x: x + 1)
+    r.register(object, lambda x: "other")
+    assert r(True) == 2 and r("x") == "other"
+    with pytest.raises(TypeError):
+        Registry()(1)
+
+
+def test_unions():
+    from lodestone.operators.union import UnionQuery, union
+
+    a, b, c = parse("?(X) :- p(X). ?(Y) :- q(Y,Z). ?(Y) :- q(Y,Z).").queries
+    both = UnionQuery.of(a) | b
+    assert len(both) == 2 and both.arity == 1 and list(both) == [a, b] and len(union([both, c])) == 2
+    assert len(both.query().answers) == 1
+    with pytest.raises(ValueError):
+        UnionQuery.of(a) | parse("?(X,Y) :- p(X,Y).").queries[0]
+    with pytest.raises(ValueError):
+        UnionQuery(())
