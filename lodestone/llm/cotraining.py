@@ -162,12 +162,14 @@ def _odds(models: tuple[linear.Softmax, linear.Softmax]):
     return run
 
 
-def _chooser(free: DataFrame, prior: float) -> Surest:
-    """Scores all of free(doc_id, ..) each round; a document gives its pseudo-label once."""
-    spark, used = free.sparkSession, []
+def _chooser(docs: DataFrame, known: DataFrame, prior: float) -> Surest:
+    """Scores all of docs(doc_id, ..) each round; a document that known(doc_id) lacks gives a pseudo-label, and once."""
+    spark, used = docs.sparkSession, []
 
     def surest(models: tuple[linear.Softmax, linear.Softmax]) -> list[tuple[Views, np.ndarray]]:
-        odds = saved(free.mapInArrow(_odds(models), "doc_id long, z0 double, z1 double").groupBy("doc_id").agg(F.min("z0").alias("z0"), F.min("z1").alias("z1")), "odds")
+        # texts stay where they are: ids with two numbers are dealt
+        odds = docs.mapInArrow(_odds(models), "doc_id long, z0 double, z1 double").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("z0").alias("z0"), F.min("z1").alias("z1"))
+        odds = saved(odds.join(known.select("doc_id"), "doc_id", "left_anti"), "odds")
         each = min(PER_ROUND, SHARE * odds.count())
         many = {0: max(1, round(each * (1 - prior))), 1: max(1, round(each * prior))}
         # bounded: PER_ROUND labels of two views in each round
@@ -181,7 +183,7 @@ def _chooser(free: DataFrame, prior: float) -> Surest:
         rows = found.collect()
         # a row of which both views are sure teaches each the other's verdict
         used.extend({r.doc_id for r in rows})
-        texts = bounded_rows(free, spark.createDataFrame([(d,) for d in sorted({r.doc_id for r in rows})], "doc_id long"))
+        texts = bounded_rows(docs, spark.createDataFrame([(d,) for d in sorted({r.doc_id for r in rows})], "doc_id long"))
         where = {d: i for i, d in enumerate(texts.column("doc_id").to_pylist())}
         both, out = _read(texts), []
         for v in (0, 1):
@@ -203,8 +205,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     rows = bounded_rows(docs, chosen)
     quality = rows.column("quality").to_numpy().astype(np.int64)
     held = tk.mix(rows.column("doc_id").to_numpy().astype(np.int64).view(tk.U64)) % tk.U64(4) == 0
-    free = docs.where("doc_id IS NOT NULL").join(known.select("doc_id"), "doc_id", "left_anti")
-    return fit(_read(rows), quality, held, _chooser(free, float(quality.mean()) if len(quality) else 0.5))
+    return fit(_read(rows), quality, held, _chooser(docs, known, float(quality.mean()) if len(quality) else 0.5))
 
 
 def _score(model: CoTrained):

@@ -21,7 +21,7 @@ the radius of 0.37 is three standard deviations of a coordinate; directions with
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows
 without a label, link with nothing (component_id is vec_id, kept); rows that share a vec_id
-are one vector with the links of either; a null vec_id has null component_id, no links and is kept; labels of any type
+are one vector with the links of either, counted for each; a null vec_id has null component_id, no links and is kept; labels of any type
 are compared as they are; other columns are
 ignored; vectors of different lengths never link.
 """
@@ -48,6 +48,8 @@ GRID = 2
 TILE = 1024
 #: Vectors of the sample that the rotation and the blocks are fitted on, and their components in all, at most.
 SAMPLE, SAMPLE_VALUES = 2000, 1 << 20
+#: Dimensions up to which vectors are rotated and cut into blocks.
+MAX_TURN = 512
 #: Work of bringing a pair together, in coordinates of a block's distance.
 MEETING = 16
 #: Added to every block's budget against rounding.
@@ -66,9 +68,14 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 class Split:
     """A rotation and the bounds of the blocks of its coordinates."""
 
+    #: The rotation; of longer vectors only the directions of the cells, and then one block holds all coordinates.
     turn: np.ndarray
     bounds: np.ndarray
 
+    @property
+    def whole(self) -> bool:
+        return self.turn.shape[1] < self.turn.shape[0]
+
     @classmethod
     def of(cls, directions: np.ndarray, blocks: int) -> Split:
         """Blocks of directions dealt in turn, so that each leads with strong ones."""
@@ -81,6 +88,8 @@ class Split:
     def rotated(self, vectors: np.ndarray) -> np.ndarray:
         """Unit vectors, rotated; a row's result does not depend on the rows beside it."""
         unit = _unit(vectors)
+        if self.whole:
+            return unit
         out = np.zeros_like(unit)
         for j in range(unit.shape[1]):
             out += unit[:, j : j + 1] * self.turn[j]
@@ -91,7 +100,8 @@ class Split:
 
     def cells(self, x: np.ndarray, block: int, budget: float) -> np.ndarray:
         first, last = self.bounds[block : block + 2]
-        cell = np.floor(x[:, first : min(first + GRID, last)] / np.sqrt(self.limits(budget)[block])).astype(np.int32)
+        lead = x @ self.turn if self.whole else x[:, first : min(first + GRID, last)]
+        cell = np.floor(lead / np.sqrt(self.limits(budget)[block])).astype(np.int32)
         return np.concatenate([cell, np.zeros((len(x), GRID - cell.shape[1]), dtype=np.int32)], axis=1)
 
 
@@ -109,8 +119,10 @@ def meetings(split: Split, x: np.ndarray, label: np.ndarray, budget: float) -> n
 
 
 def choose(vectors: np.ndarray, label: np.ndarray, threshold: float, blocks: tuple[int, ...] = BLOCKS) -> Split:
-    """The principal directions of the sample and the number of blocks of least cost."""
+    """The principal directions of the sample and the number of blocks of least cost; long vectors are one block."""
     unit, budget = _unit(vectors), 2 - 2 * threshold
+    if unit.shape[1] > MAX_TURN:
+        return Split(np.linalg.svd(unit, full_matrices=False)[2][:GRID].T, np.array([0, unit.shape[1]]))
     _, directions = np.linalg.eigh(unit.T @ unit)
     splits = [Split.of(directions[:, ::-1], b) for b in blocks]
     cost = [float((meetings(s, s.rotated(vectors), label, budget) * (np.diff(s.bounds) + MEETING)).sum()) for s in splits]
@@ -149,8 +161,8 @@ def _cells(splits: dict[int, Split], budget: float):
                     cell = split.cells(x, b, budget)
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("label"), part.column("rep"), pa.array(np.full(n, dim, dtype=np.int32)), pa.array(np.full(n, b, dtype=np.int32)), pa.array(cell[:, 0].copy()), pa.array(cell[:, 1].copy())],
-                        names=["label", "rep", "dim", "block", "x", "y"],
+                        [part.column("label"), part.column("rep"), part.column("h1"), pa.array(np.full(n, dim, dtype=np.int32)), pa.array(np.full(n, b, dtype=np.int32)), pa.array(cell[:, 0].copy()), pa.array(cell[:, 1].copy())],
+                        names=["label", "rep", "h1", "dim", "block", "x", "y"],
                     )
 
     return run
@@ -180,7 +192,7 @@ def _verify(splits: dict[int, Split], threshold: float):
             for at in range(0, len(a), 50_000):
                 i, j = part[a[at : at + 50_000]], right[b[at : at + 50_000]]
                 cosine = np.einsum("ij,ij->i", vectors[i], vectors[j]) / (norm[i] * norm[j])
-                good = cosine >= threshold
+                good = (cosine >= threshold) & (rep[i] != rep[j])
                 i, j = i[good], j[good]
                 if len(limits) > 1:
                     apart = (x[i] - x[j]) ** 2
@@ -237,9 +249,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, blocks: tuple[int,
     # equal vectors: two independent hashes of all components stand for the vector
     hashed = usable.select("vec_id", "label", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), F.reverse("embedding")).alias("h2"))
     classes = hashed.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    nodes = saved(hashed.join(classes.withColumnRenamed("rep", "vec_id"), ["label", "h1", "h2", "vec_id"]).select("label", F.col("vec_id").alias("rep"), "weight", "embedding"), "vectors")
+    nodes = saved(hashed.join(classes.withColumnRenamed("rep", "vec_id"), ["label", "h1", "h2", "vec_id"]).select("label", F.col("vec_id").alias("rep"), "h1", "weight", "embedding"), "vectors")
     splits = _splits(nodes, threshold, blocks)
-    cells = nodes.select("label", "rep", "embedding").mapInArrow(_cells(splits, 2 - 2 * threshold), f"label {label}, rep long, dim int, block int, x int, y int")
+    cells = nodes.select("label", "rep", "h1", "embedding").mapInArrow(_cells(splits, 2 - 2 * threshold), f"label {label}, rep long, h1 long, dim int, block int, x int, y int")
     cells = saved(cells, "cells")
     where = ["label", "dim", "block", "x", "y"]
     sizes = cells.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("n_tiles"))
@@ -260,8 +272,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, blocks: tuple[int,
     there = pairs.where("NOT same").select("label", "dim", "block", "x", "y", F.col("j").alias("tile"), "task", "same", F.lit(1).alias("side"))
     routes = here.unionByName(there).groupBy(*where, "tile").agg(F.collect_list(F.struct("task", "same", "side")).alias("visits"))
     tiled = cells.join(sizes, where).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int"))
-    visits = tiled.join(routes, [*where, "tile"]).select("label", "rep", "block", F.explode("visits").alias("v")).select("label", "rep", "block", "v.task", "v.same", "v.side")
-    tasks = visits.join(nodes, ["label", "rep"]).select("task", "side", "same", "block", "rep", "weight", "embedding").repartition("task").sortWithinPartitions("task")
+    visits = tiled.join(routes, [*where, "tile"]).select("label", "rep", "h1", "block", F.explode("visits").alias("v")).select("label", "rep", "h1", "block", "v.task", "v.same", "v.side")
+    tasks = visits.join(nodes, ["label", "rep", "h1"]).select("task", "side", "same", "block", "rep", "weight", "embedding").repartition("task").sortWithinPartitions("task")
     found = saved(tasks.mapInArrow(_verify(splits, threshold), _FOUND), "links")
     counted = found.groupBy("rep").agg(F.sum("n_links").alias("n"))
     copies = hashed.join(classes, ["label", "h1", "h2"]).where("vec_id > rep").select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))
