@@ -227,7 +227,7 @@ _KINDS: tuple[tuple[str, str, Callable[[Feistel, str], str | None]], ...] = (
     ("date", r"(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d\-/]|\.\d)", _date),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _octets),
     ("social", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", _social),
-    ("phone", r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,5}(?:[ .\-]\d{2,5}){1,4}(?!\d)|\+\d{8,15}(?!\d)|(?<![\d\-(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])", _phone),
+    ("phone", r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,5}(?:[ .\-]\d{2,5}){1,4}(?!\d)|\+\d{8,15}(?!\d)|(?<![\d\-])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])", _phone),
     ("card", r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)", _card),
 )
 KINDS = tuple(k for k, _, _ in _KINDS)
