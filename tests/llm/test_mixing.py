@@ -45,6 +45,27 @@ def test_whole_table(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_totals_of_the_whole_table(spark):
+    """The rates reach every target, as a sum over the rows says; targets out of reach are told."""
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    rated, totals = m.mix_with_totals(docs, labels)
+    rows = rated.collect()
+    n, x = (np.array([r[c] for r in rows]) for c in ("n_tokens", "rate"))
+    p = np.array([r.posteriors for r in rows])
+    reached = (n * x) @ p
+    goal = (n @ p).sum() * np.array([m.TARGETS[d] for d in m.DOMAINS])
+    assert list(totals.reached.values()) == pytest.approx(reached) and list(totals.goal.values()) == pytest.approx(goal)
+    assert np.abs(reached - goal).max() <= 1e-4 * goal.sum() and totals.steps < m.MAX_STEPS
+
+
+def test_targets_out_of_reach(spark):
+    """One document that is half of each domain: no rate gives nine to one; the steps end and the totals say so."""
+    rows = [(1, 1, 100, [0.5, 0.5, 0.0])]
+    members = spark.createDataFrame(rows, m._MEMBERS)
+    steps, now, goal = m.solve(members, {"clean": 0.9, "low": 0.1})
+    assert len(steps) < m.MAX_STEPS and now == pytest.approx([50, 50, 0], abs=1e-3) and goal == pytest.approx([90, 10, 0])
+
+
 def test_resample_and_edges(spark):
     rows = corpus(300)
     docs = spark.createDataFrame([(d, t) for d, t, _, _ in rows] + [(None, None), (7, ""), (7, "")], "doc_id long, text string").selectExpr("*", "1 AS rate", "2 AS __x")
