@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
+from lodestone.iri import normalise, resolve
 from lodestone.operators.chase import ancestors, certain, chase, fact_text
+from lodestone.operators.cores import VARIANTS, core
+from lodestone.operators.homomorphism import to_cqs
+from lodestone.operators.rewriting import rewrite
+from lodestone.operators.ruleset import analyse, compile_rules, dependencies, strata
 from lodestone.operators.union import UnionQuery
+from lodestone.parser import parse
 from lodestone.runtime import shared_dir
 from lodestone.sources import files, views
 from lodestone.sources.catalog import frame_source
@@ -465,5 +471,83 @@ def _chase_certain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OTHER["chase_certain"] = (_chase_certain, "SELECT DISTINCT s_nationkey AS n, s_suppkey AS p FROM supplier")
 
+
+# algorithms over rules and queries, as tables of their verdicts
+def _verdicts(columns: str, rows: Callable[[], list[tuple]]):
+    """A small table of what an algorithm says."""
+    return lambda spark, sf_dir: spark.createDataFrame(rows(), columns)
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    """The rows that are expected, as SQL."""
+    shown = lambda v: str(v).upper() if isinstance(v, bool) else f"CAST({v} AS BIGINT)" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) t({columns})"
+
+
+_CLASSES = [
+    ("q(X) :- p(X,Y).", "linear guarded frontier_guarded range_restricted weakly_acyclic", ""),
+    ("q(X,Z) :- p(X,Y), p(Y,Z).", "range_restricted weakly_acyclic weakly_sticky", "linear guarded frontier_guarded sticky"),
+    ("p(Y,Z) :- p(X,Y).", "linear guarded sticky weakly_sticky", "range_restricted weakly_acyclic"),
+    ("r(X,Y,Z) :- p(X,Y), q(Y,Z).", "sticky", "linear guarded"),
+]
+_LAYERED = "[p] p(Y,Z) :- p(X,Y). [q] q(X) :- p(X,X), not r(X). [r] r(X) :- s(X). [s] s(X) :- p(X,Y)."
+#: Examples of RFC 3986, section 5.4.1, against http://a/b/c/d;p?q.
+_RESOLVED = [
+    ("g:h", "g:h"), ("g", "http://a/b/c/g"), ("./g", "http://a/b/c/g"), ("g/", "http://a/b/c/g/"), ("/g", "http://a/g"), ("//g", "http://g"), ("?y", "http://a/b/c/d;p?y"), ("g?y", "http://a/b/c/g?y"),
+    ("#s", "http://a/b/c/d;p?q#s"), ("g#s", "http://a/b/c/g#s"), (";x", "http://a/b/c/;x"), ("", "http://a/b/c/d;p?q"), (".", "http://a/b/c/"), ("..", "http://a/b/"), ("../g", "http://a/b/g"), ("../..", "http://a/"), ("../../g", "http://a/g"), ("../../../g", "http://a/g"),
+]
+_NORMAL = [("case", "HTTP://User@Example.COM/A", "http://User@example.com/A"), ("percent", "http://a/%7e%c3", "http://a/~%C3"), ("path", "http://a/x/./y/../z", "http://a/x/z"), ("scheme", "HTTP://a:80", "http://a/"), ("string", "HTTP://a:80", "HTTP://a:80")]
+_CONTAINED = [("?(X) :- p(X,Y), p(Y,Z).", "?(X) :- p(X,Y).", True), ("?(X) :- p(X,Y).", "?(X) :- p(X,Y), p(Y,Z).", False), ("?(X) :- p(X,Y), p(X,Z).", "?(X) :- p(X,Y).", True), ("?(X) :- p(X,Y).", "?(X) :- p(X,Y), p(X,Z).", True), ("?(X) :- p(X,X).", "?(X) :- p(X,Y), p(Y,X).", True)]
+_FOLDED = [("p(a,b), p(a,X), p(X,Y), q(Y).", 4), ("p(a,X), p(a,Y), q(X), q(Y), r(Y).", 3), ("e(X,Y), e(Y,Z), e(Z,Z).", 1), ("p(a,b), q(b).", 2), ("e(X,Y), e(Y,X), e(A,B), e(B,C), e(C,A).", 5)]
+_REWRITTEN = [("trades(N) :- party(N). party(N) :- customer(C, N). party(N) :- supplier(S, N). ?(N) :- trades(N).", 4), ("link(X, Z) :- base(X). ?(X) :- link(X, Y), base(X).", 1), ("link(X, Z) :- base(X). ?() :- link(X, a).", 1), ("good(X) :- green(X). good(X) :- red(X). green(X) | red(X) :- node(X). ?(X) :- good(X).", 4)]
+
+
+def _classes() -> list[tuple]:
+    return [(text, name, bool(analyse(parse(text).rules)[name])) for text, yes, no in _CLASSES for name in [*yes.split(), *no.split()]]
+
+
+def _layers() -> list[tuple]:
+    layers = strata(dependencies(parse(_LAYERED).rules), "minimal")
+    return [(r.label, i) for i, layer in enumerate(layers) for r in layer]
+
+
+def _graph() -> list[tuple]:
+    found = parse(_LAYERED).rules
+    return [(found[i].label, found[j].label, positive) for i, j, positive in dependencies(found).edges()]
+
+
+def _containment() -> list[tuple]:
+    one = lambda text: to_cqs(parse(text).queries[0])[0]
+    return [(a, b, one(a).contained_in(one(b))) for a, b, _ in _CONTAINED]
+
+
+def _rewritings() -> list[tuple]:
+    out = []
+    for text, _ in _REWRITTEN:
+        doc = parse(text)
+        out.append((text, len(rewrite(doc.queries[0], doc.rules, 6))))
+    return out
+
+
+def _unfolded() -> list[tuple]:
+    found = compile_rules(parse("q(Y,X) :- p(X,Y). r(X) :- q(X,X). s(X,X) :- r(X). t(X) :- r(X), q(X,X).").rules)
+    a, b = Var("A"), Var("B")
+    return [(str(atom), str(x)) for atom in (Atom("q", (a, b)), Atom("r", (a,))) for x in found.unfold(atom)] + [("rest", str(len(found.rest)))]
+
+
+ALGORITHMS: dict[str, tuple[str, Callable[[], list[tuple]], list[tuple]]] = {
+    "rule_classes": ("rules string, name string, holds boolean", _classes, [(t, n, True) for t, yes, _ in _CLASSES for n in yes.split()] + [(t, n, False) for t, _, no in _CLASSES for n in no.split()]),
+    "rule_strata": ("rule string, layer long", _layers, [("p", 0), ("r", 0), ("s", 0), ("q", 1)]),
+    "rule_graph": ("rule string, other string, positive boolean", _graph, [("p", "p", True), ("p", "s", True), ("r", "q", False), ("s", "r", True)]),
+    "rule_unfolding": ("atom string, entailing string", _unfolded, [("q(A, B)", "q(A, B)"), ("q(A, B)", "p(B, A)"), ("r(A)", "r(A)"), ("r(A)", "q(A, A)"), ("r(A)", "p(A, A)"), ("rest", "1")]),
+    "query_containment": ("a string, b string, contained boolean", _containment, _CONTAINED),
+    "query_rewritings": ("program string, n long", _rewritings, _REWRITTEN),
+    "fact_cores": ("facts string, variant string, n long", lambda: [(t, v, len(core(parse(t).facts, v))) for t, _ in _FOLDED for v in VARIANTS], [(t, v, n) for t, n in _FOLDED for v in ("naive", "by_specialisation", "by_piece_exhaustive", "by_piece_deletion", "by_piece_specialisation", "by_piece_and_variable", "multi_thread")]),
+    "iri_resolution": ("reference string, target string", lambda: [(r, resolve(r, "http://a/b/c/d;p?q")) for r, _ in _RESOLVED], _RESOLVED),
+    "iri_normal_forms": ("kind string, iri string, normal string", lambda: [(k, t, normalise(t, k)) for k, t, _ in _NORMAL], _NORMAL),
+}
+for _name, (_schema, _rows, _expected) in ALGORITHMS.items():
+    OTHER[_name] = (_verdicts(_schema, _rows), _values(", ".join(c.split()[0] for c in _schema.split(", ")), _expected))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{n: _plain(n) for n in PLAIN}, **{n: f for n, (f, _) in OTHER.items()}}
 SQL: dict[str, str] = {**{n: s for n, (_, _, s) in PLAIN.items()}, **{n: s for n, (_, s) in OTHER.items() if s}}
