@@ -1,7 +1,8 @@
 """Cores: fact sets without foldable labelled nulls.
 
 A piece is a set of atoms connected through nulls; only pieces can fold, ground atoms
-stay.  Query-sized sets fold on the driver; a catalog's pieces are read in (below a cap)
+stay.  Query-sized sets fold on the driver.  Of a catalog, pieces of one fact, however many there are, fold by
+joins on the executors; larger pieces that are left are read in (below a cap)
 and each fold is looked for by one Spark query over all facts.
 """
 
@@ -10,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestone.operators.homomorphism import Map, homomorphisms, maps_into, moves
 from lodestone.operators.ruleset import pieces
 from lodestone.plans.encoding import PlanError, from_row, is_term
+from lodestone.runtime import saved
 from lodestone.sources.catalog import Catalog, Source, facts_frames, without
 from lodestone.syntax import Atom, substitute
 from lodestone.terms import Null, Term, Var
@@ -113,26 +116,86 @@ def collect(catalog: Catalog, keys: Iterable | None = None, cap: int = CAP) -> l
 
 
 def _null_atoms(catalog: Catalog, cap: int) -> list[Atom]:
-    out = []
+    """Facts of pieces that can still fold: those with a null that another fact has too."""
+    held: dict = {}
     for key, source in list(catalog.sources.items()):
-        if source.load is None or not key[1]:
-            continue
-        fields = [f.name for f in source.schema.fields if is_term(f.dataType)]
-        if not fields:
-            continue
-        held = None
-        for f in fields:
-            c = F.col(f"{f}.k") == "n"
-            held = c if held is None else held | c
-        rows = source.frame().where(held).limit(cap + 1).collect()
+        if source.load is not None and key[1] and (names := _null_names(source)):
+            held[key] = (source, F.array_distinct(F.array_compact(F.array(*names.values()))))
+    if not held:
+        return []
+    counts = None
+    for key, (source, nulls) in held.items():
+        part = source.frame().select(F.explode(nulls).alias("null"), F.xxhash64(F.lit(f"{key[0]}/{key[1]}"), *source.schema.names).alias("fact"))
+        counts = part if counts is None else counts.unionByName(part)
+    shared = saved(counts.groupBy("null").agg(F.min("fact").alias("a"), F.max("fact").alias("b")).where("a <> b").select("null"), "shared-nulls")
+    out = []
+    for key, (source, nulls) in held.items():
+        tied = source.frame().withColumn("null", F.explode(nulls)).join(shared, "null", "left_semi").select(*source.schema.names).distinct()
+        rows = tied.limit(cap + 1).collect()
         if len(rows) > cap:
-            raise PlanError(f"more than {cap} facts with nulls in {key[0]}/{key[1]}")
+            raise PlanError(f"more than {cap} facts with shared nulls in {key[0]}/{key[1]}")
         out += [Atom(key[0], tuple(from_row(v) for v in r)) for r in rows]
     return out
 
 
+def _null_names(source: Source) -> dict[str, Column]:
+    """For each position that can hold nulls, the null's name."""
+    return {f.name: F.when(F.col(f"{f.name}.k") == "n", F.col(f"{f.name}.v")) for f in source.schema.fields if is_term(f.dataType)}
+
+
+def _fold_single_facts(catalog: Catalog) -> int:
+    """Remove every fact whose nulls stand in no other fact and that another fact of its predicate covers.
+
+    A fact covers another if it agrees wherever that one has no null, and is equal to itself wherever
+    that one repeats a null.  Of facts that cover each other the one with the smallest hash stays.
+    """
+    found = {key: (s, _null_names(s)) for key, s in catalog.sources.items() if s.load is not None and key[1]}
+    found = {key: (s, names) for key, (s, names) in found.items() if names}
+    if not found:
+        return 0
+    row = lambda key, s: F.xxhash64(F.lit(f"{key[0]}/{key[1]}"), *s.schema.names)
+    places = [s.frame().select(row(key, s).alias("fact"), F.explode(F.array_distinct(F.array_compact(F.array(*names.values())))).alias("null")) for key, (s, names) in found.items()]
+    every = places[0]
+    for p in places[1:]:
+        every = every.unionByName(p)
+    shared = saved(every.groupBy("null").agg(F.min("fact").alias("a"), F.max("fact").alias("b")).where("a <> b").select("null"), "shared-nulls")
+    gone = 0
+    for key, (s, names) in found.items():
+        marked = s.frame().withColumn("fact", row(key, s)).withColumn("nulls", F.array(*names.values()))
+        marked = marked.withColumn("own", F.array_distinct(F.array_compact("nulls")))
+        marked = saved(marked.withColumn("mask", F.concat(*(F.when(c.isNotNull(), "1").otherwise("0") for c in names.values()))), "marked")
+        tied = marked.where("size(own) > 0").select("fact", F.explode("own").alias("null")).join(shared, "null", "left_semi").select("fact").distinct()
+        # facts of larger pieces stay here, so they come before single ones of the same form
+        alone = tied.withColumn("kept", F.lit(0))
+        marked = marked.join(alone, "fact", "left").withColumn("rank", F.struct(F.size(F.array_compact("nulls")).alias("n"), F.size("own").alias("d"), F.coalesce("kept", F.lit(1)).alias("s"), F.col("fact").alias("h")))
+        single = marked.where("size(own) > 0 AND kept IS NULL")
+        covered = None
+        # at most one mask for each set of positions
+        for (mask,) in single.select("mask").distinct().collect():
+            open_ = [n for n, m in zip(names, mask, strict=True) if m == "1"]
+            left, right = single.where(F.col("mask") == mask).alias("l"), marked.alias("r")
+            on = [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in s.schema.names if n not in open_]
+            on += [(F.col(f"l.{a}") != F.col(f"l.{b}")) | (F.col(f"r.{a}") == F.col(f"r.{b}")) for i, a in enumerate(open_) for b in open_[:i]]
+            part = left.join(right, [*on, F.col("r.rank") < F.col("l.rank")], "left_semi").select(*s.schema.names)
+            covered = part if covered is None else covered.unionByName(part)
+        if covered is None:
+            continue
+        covered = saved(covered, "covered")
+        n = covered.count()
+        if n:
+            rest = saved(without(s.frame(), covered), "folded").toDF(*s.schema.names)
+            catalog.sources[key] = Source(lambda rest=rest: rest, rest.schema, writable=True)
+            gone += n
+    return gone
+
+
 def fold_catalog(catalog: Catalog, cap: int = CAP) -> int:
-    """Fold the catalog's null pieces in place; the number of facts that went.
+    """Fold the catalog's null pieces in place; the number of facts that went."""
+    return _fold_single_facts(catalog) + _fold_pieces(catalog, cap)
+
+
+def _fold_pieces(catalog: Catalog, cap: int) -> int:
+    """Fold the pieces of several facts.
 
     The pieces are on the driver (below the cap); whether one folds onto the rest of the data is a
     query with the nulls as variables.

@@ -183,6 +183,29 @@ def test_federated_ancestors(spark):
     assert [r.ancestor[0] for r in ancestors(results, goal, prime=True).collect()] == ["a"]
 
 
+@pytest.mark.parametrize("facts", ["p(a,b), p(a,X), p(Y,b), p(Z,W), q(c).", "p(X,X), p(Y,Z), p(U,V).", "p(X,Y), p(Z,W), q(X), q(a).", "p(a,X), p(a,Y), p(b,X), p(Z,Z), p(c,c).", "p(a,X), p(a,Y), q(X), q(Y), r(Y)."])
+def test_catalog_cores(spark, facts):
+    """Single facts fold by joins, larger pieces after them; what is left is a core of the same facts."""
+    from lodestone.operators.cores import core, fold_catalog
+
+    e = Engine(spark)
+    e.load(facts)
+    given = collect(e.catalog)
+    gone = fold_catalog(e.catalog)
+    left = collect(e.catalog)
+    assert is_core(left) and equivalent_sets(left, given) and len(left) == len(core(given)) == len(given) - gone
+
+
+def test_many_single_facts_fold_without_a_cap(spark):
+    from lodestone.operators.cores import fold_catalog
+
+    e = Engine(spark)
+    e.load("seat(C, Z) :- guest(C). seat(C, P) :- place(C, P).")
+    e.catalog.add("guest", spark.range(3000).selectExpr("cast(id AS int) AS c")).add("place", spark.range(1000).selectExpr("cast(id AS int) AS c", "cast(id * 2 AS int) AS p"))
+    catalog = e.chase().catalog
+    assert fold_catalog(catalog, cap=10) == 1000 and catalog.find(("seat", 2)).frame().count() == 3000
+
+
 def test_chase_limits_and_core(spark):
     e = Engine(spark)
     e.load("p(a,b). p(Y,Z) :- p(X,Y). p(Y,Y) :- p(X,Y), p(Y,Z).")
