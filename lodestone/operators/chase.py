@@ -17,6 +17,7 @@ import re
 import threading
 import time
 import uuid
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -25,11 +26,12 @@ from dataclasses import dataclass, field, fields, replace
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import standard
 from lodestone.functions.standard import Arg, FunctionError
 from lodestone.operators.ruleset import dependencies, negative_atoms, positive_atoms, split, strata, weakly_acyclic
-from lodestone.plans.compiler import Compiler, Rel, column_name
+from lodestone.plans.compiler import Compiler, Rel, UnsafeNegationWarning, column_name
 from lodestone.plans.encoding import PlanError, literal_column, term_struct, to_term
 from lodestone.runtime import saved
 from lodestone.sources.catalog import Catalog, Key, Source, align, without
@@ -88,12 +90,19 @@ class Result:
     #: Rules of each stratum, and the options that are not the usual ones.
     strata: list[list[str]] = field(default_factory=list)
     settings: dict = field(default_factory=dict)
+    #: The rules as they were run, and the predicates that were dropped at the end of a stratum.
+    rules: list[Rule] = field(default_factory=list)
+    forgotten: set[Key] = field(default_factory=set)
 
     def frame(self, name: str, arity: int) -> DataFrame:
-        source = self.catalog.find((name, arity))
-        if source is None:
+        """Rows of a predicate; a head predicate for which no rule has made a fact is empty."""
+        key = name, arity
+        source = self.catalog.find(key)
+        if source is not None:
+            return source.frame()
+        if key in self.forgotten or not any(a.key == key for r in self.rules for a in r.head_atoms):
             raise KeyError(f"{name}/{arity}")
-        return source.frame()
+        return self.catalog.spark.createDataFrame([], _empty_heads(self.catalog, self.rules)[key])
 
     def describe(self) -> dict:
         return {"steps": self.steps, "stopped": self.stopped, "created": {f"{k[0]}/{k[1]}": n for k, n in self.created.items()}, "applied": self.applied, "strata": self.strata, "options": self.settings}
@@ -328,6 +337,31 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
+def _empty_heads(catalog: Catalog, rules: list[Rule]) -> dict[Key, T.StructType]:
+    """Schemas of the head predicates without facts, by their rules' plans over empty tables; what no plan types is a string."""
+    spark, missing = catalog.spark, {a.key for r in rules for a in r.head_atoms if catalog.find(a.key) is None}
+    blank = lambda schema: Source(lambda: spark.createDataFrame([], schema), schema)
+    plans = catalog.copy()
+    plans.versions, plans.sources = {}, {k: blank(s.schema) for k, s in catalog.sources.items()}
+    state = _Round(plans, Options(), {i: r.label or "" for i, r in enumerate(rules)})
+    found: dict[Key, T.StructType] = {}
+    for _ in range(len(missing) + 1):  # a body may read predicates that are empty too
+        made: dict[Key, DataFrame] = {}
+        for i, r in enumerate(rules):
+            if any(a.key in missing for a in r.head_atoms):
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore", UnsafeNegationWarning)  # the chase has warned
+                    rel = state.body(r, [], {}, set(free(r.body)))
+                for key, df in state.heads(r, rel, i, 0):
+                    made[key] = align(made[key], df)[0] if key in made and key[1] else df
+        before, found = found, {k: df.schema for k, df in made.items() if k in missing}
+        if found == before:
+            break
+        plans.sources |= {k: blank(schema) for k, schema in found.items()}
+    text = lambda f: T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.NullType) else f.dataType)
+    return {k: T.StructType([text(f) for f in schema]) for k, schema in found.items()}
+
+
 def _fact(pred: str, columns: list[Column]) -> Column:
     return F.concat(F.lit(f"{pred}("), F.concat_ws(", ", *(F.to_json(F.struct(c.alias("v"))) for c in columns)), F.lit(")"))
 
@@ -379,6 +413,7 @@ def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = Non
     strata_ = [_prepared(layer, o) for layer in layers] if layers is not None else _layers(prepared, o)
     lineage: list[DataFrame] = []
     result.strata = [[r.label or "" for r in layer] for layer in strata_]
+    result.rules = [r for layer in strata_ for r in layer]
     result.settings = {f.name: getattr(o, f.name) for f in fields(o) if getattr(o, f.name) != f.default}
     for depth, layer in enumerate(strata_):
         names = {i: f"{r.label}.{depth}.{i}" for i, r in enumerate(layer)}
@@ -438,7 +473,7 @@ def chase(catalog: Catalog, rules: Iterable[Rule], options: Options | None = Non
         if result.stopped not in ("no new facts", "no rules to apply"):
             break
         if o.keep is not None:
-            _forget(catalog, strata_[depth + 1 :], o.keep, {a.key for r in prepared for a in r.head_atoms})
+            result.forgotten |= _forget(catalog, strata_[depth + 1 :], o.keep, {a.key for r in prepared for a in r.head_atoms})
     if o.core == "end":
         _core(catalog)
     if lineage:
@@ -495,12 +530,13 @@ def _core(catalog: Catalog) -> None:
     fold_catalog(catalog)
 
 
-def _forget(catalog: Catalog, later: list[list[Rule]], keep: frozenset[str], derived: set[Key]) -> None:
-    """Drop derived predicates that no later layer reads and nobody wants."""
+def _forget(catalog: Catalog, later: list[list[Rule]], keep: frozenset[str], derived: set[Key]) -> set[Key]:
+    """Drop derived predicates that no later layer reads and nobody wants; their keys."""
     needed = {a.key for layer in later for r in layer for a in (*positive_atoms(r.body), *negative_atoms(r.body), *r.head_atoms)}
-    for key in derived - needed:
-        if key[0] not in keep:
-            catalog.sources.pop(key, None)
+    gone = {key for key in derived - needed if key[0] not in keep}
+    for key in gone:
+        catalog.sources.pop(key, None)
+    return gone
 
 
 def _due(layer: list[Rule], o: Options, last: set[int] | None, graph, state: _Round) -> list[int]:

@@ -233,6 +233,21 @@ def test_chase_negation_functions_lineage(spark):
         bad.chase()
 
 
+def test_heads_without_facts_are_empty(spark):
+    e = Engine(spark)
+    e.load("n(1), n(2). m(1, 2). rich(X) :- n(X). poor(X) :- n(X), not rich(X). poorer(X, Z, Y) :- poor(X), m(X, Y). flag() :- poor(X). odd(X) :- odd(X).")
+    layers = [[e.rules[0]], [e.rules[1]], e.rules[2:]]
+    r = chase(e.catalog, e.rules, layers=layers)
+    assert [r.frame(n, k).count() for n, k in (("rich", 1), ("poor", 1), ("poorer", 3), ("flag", 0), ("odd", 1))] == [2, 0, 0, 0, 0]
+    kind = r.frame("rich", 1).schema["c0"].dataType
+    assert r.frame("poor", 1).schema["c0"].dataType == kind and [r.frame("poorer", 3).schema[i].dataType for i in (0, 2)] == [kind, kind]
+    assert r.frame("poorer", 3).dtypes[1][1].startswith("struct") and r.frame("odd", 1).dtypes == [("c0", "string")]
+    assert e.chase(max_steps=0).frame("rich", 1).collect() == [] and e.chase(keep=frozenset(["poor"])).frame("poor", 1).collect() == []
+    for absent in (r, e.chase(keep=frozenset(["rich"]))):
+        with pytest.raises(KeyError):
+            absent.frame("poor", 2 if absent is r else 1)
+
+
 def test_rewriting_agrees_with_the_chase(spark):
     e = Engine(spark)
     e.load("emp(a), emp(b), boss(b), works(c,d). works(X,Y) :- emp(X). emp(X) :- boss(X). busy(X) :- works(X,Y).")
