@@ -248,6 +248,21 @@ def test_heads_without_facts_are_empty(spark):
             absent.frame("poor", 2 if absent is r else 1)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_strata_from_outside(spark, size):
+    """At sf0.01 every nation has a rich customer: no rows, and the column's type as where there are some."""
+    import duckdb
+
+    from lodestone.queries import QUERIES, SQL
+
+    db = duckdb.connect()
+    for t in ("customer", "nation"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{size}/{t}.parquet'")
+    got = QUERIES["chase_external_strata"](spark, f"/root/testdata/{size}")
+    assert sorted(map(tuple, got.collect())) == sorted(db.execute(SQL["chase_external_strata"]).fetchall())
+    assert got.dtypes == [("n", dict(spark.read.parquet(f"/root/testdata/{size}/nation.parquet").dtypes)["n_nationkey"])]
+
+
 def test_rewriting_agrees_with_the_chase(spark):
     e = Engine(spark)
     e.load("emp(a), emp(b), boss(b), works(c,d). works(X,Y) :- emp(X). emp(X) :- boss(X). busy(X) :- works(X,Y).")
