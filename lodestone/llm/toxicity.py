@@ -33,8 +33,8 @@ from lodestone.llm import textkernel as tk
 
 #: Labelled ids in a part that trains by itself within an epoch, about.
 PART_ROWS = 4096
-#: Ids that are broadcast at most to find their rows; more are joined by a shuffle.
-BROADCAST_IDS = 1 << 20
+#: Labelled ids that go to the driver and to each executor at most, nine bytes each, to find their rows; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 24
 EPOCHS, RATE, BATCH = 4, 0.02, 32
 #: A word is known from so many training rows on.
 LEAST = 3
@@ -402,10 +402,14 @@ def _lines(values: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([flat, np.zeros(-len(flat) % DIM, dtype=flat.dtype)]).reshape(-1, DIM)
 
 
-def _learn(model: Model, memory: dict, weights: tuple[float, float], rate: float):
-    """Each part's parameters after one pass over its rows: its moved vectors by row, shared ones as rows -1, -2, ..; as integers."""
+def _learn(begin, weights: tuple[float, float], rate: float):
+    """Each part's parameters after one pass over its rows: its moved vectors by row, shared ones as rows -1, -2, ..; as integers.
+
+    begin is the broadcast model and Adagrad sums.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, memory = begin.value
         own = Model(model.known, model.vectors.copy())
         past = memory["e"].copy()
         part, state, moved = None, {}, []
@@ -437,10 +441,12 @@ def _learn(model: Model, memory: dict, weights: tuple[float, float], rate: float
 
 def _learn_once(rows: DataFrame, model: Model, memory: dict, weights: tuple[float, float], rate: float) -> None:
     """One epoch: the mean of the parts' parameters and Adagrad sums."""
-    made = rows.mapInArrow(_learn(model, memory, weights, rate), "row long, " + ", ".join(f"{f} long" for f in _FIELDS))
+    begin = rows.sparkSession.sparkContext.broadcast((model, memory))
+    made = rows.mapInArrow(_learn(begin, weights, rate), "row long, " + ", ".join(f"{f} long" for f in _FIELDS))
     # sums of integers are the same in any order
     mean = made.groupBy("row").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f) for f in _FIELDS))
     found = mean.select("row", *((F.col(f) / F.col("n") / FIXED).cast("float").alias(f) for f in _FIELDS)).toArrow().sort_by("row")
+    begin.destroy()  # else its files stay on every executor's disk
     at = found.column("row").to_numpy()
     values = np.stack([found.column(f).to_numpy() for f in _FIELDS], axis=1).reshape(-1, 2, DIM)
     vectors = at >= 0
@@ -465,24 +471,45 @@ def _raw(model: Model):
     return run
 
 
+def _among(given):
+    """Rows whose doc_id is given, with their label and whether they are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, marks = given.value
+        for batch in batches:
+            own = batch.column("doc_id").to_numpy()
+            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            found = ids[at] == own
+            mark = marks[at[found]]
+            columns = [*batch.filter(pa.array(found)).columns, pa.array((mark & 1).astype(np.int32)), pa.array(mark > 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "lang", "toxic", "held"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on all labelled rows that may be learnt and are not held, calibrate on all that are held."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    docs = docs.where(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     known = _labelled(labels)
-    n_ids = known.count()
+    n_ids, given = known.count(), None
     if not n_ids:
         return _blank()
     if n_ids <= BROADCAST_IDS:
-        known = F.broadcast(known)
+        table = known.toArrow().sort_by("doc_id")
+        marks = table.column("toxic").to_numpy().astype(np.uint8) + 2 * table.column("held").to_numpy().astype(np.uint8)
+        given = docs.sparkSession.sparkContext.broadcast((table.column("doc_id").to_numpy(), marks))
+        rows = docs.mapInArrow(_among(given), "doc_id long, text string, lang string, toxic int, held boolean")
     else:
-        docs = docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    rows = docs.join(known, "doc_id").withColumn("place", F.xxhash64("doc_id", "text"))
-    rows = rows.withColumn("part", F.pmod("place", F.lit(-(-n_ids // PART_ROWS))))
+        rows = docs.join(known, "doc_id")
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "text")).withColumn("part", F.pmod("place", F.lit(-(-n_ids // PART_ROWS))))
     rows = rows.repartition("part").sortWithinPartitions("part", "place", "doc_id").select("part", "text", "lang", "toxic", "held").persist(StorageLevel.DISK_ONLY)
     try:
         return _trained(rows)
     finally:
         rows.unpersist()
+        if given is not None:
+            given.destroy()
 
 
 def _trained(rows: DataFrame) -> Model:
