@@ -10,14 +10,16 @@ consecutive windows with one anchor form one block of `span` to
    doc_id and there the first word; partial aggregation merges copies before the shuffle.
 2. Parse: a document looks all its blocks up at once.  From left to right a factor takes the next
    block for as long as its place in the reference continues the factor's; then a new one begins.
-3. Factor boundaries: a new block whose anchor also stands in other blocks may share
-   some windows with them.  Only there single windows (digests again) are looked up, and they lengthen
-   the factors beside them or make factors of their own.
+3. Factor boundaries: a new block may share some windows with other blocks of its anchor.  Every such window
+   holds the block's head (the anchor and the words before it, half of those that a window has beside the anchor) or its
+   tail (the anchor and the words behind it).  Only windows whose head or tail also stands in
+   other blocks are looked up singly (digests again), and they lengthen the factors beside them or make factors of their own.
 4. Every factor has `span` words or more and becomes a duplicate span.
 
 Hot passages: every aggregation has a map-side part, and both lookups are plain
 equi-joins whose large partitions adaptive execution splits; no task gathers a
-group.  A word goes if and only if a window over it also starts in a document with a
+group.  Shuffles: the merged index, both times one exchange, and its heads and tails; the blocks' digests; the texts,
+one exchange for both joins; the single windows.  A word goes if and only if a window over it also starts in a document with a
 smaller doc_id, judged on the input; digests are of the words themselves, so no texts but equal ones meet
 (chance of 2**-128 a pair).
 
@@ -37,13 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkernel as tk
-from lodestone.runtime import saved
+from lodestone.runtime import collect_garbage, saved
 
 #: Words of an anchor gram; longer anchors make more blocks, shorter ones more boundary lookups.
 ANCHOR = 10
 
-_BLOCK = "s1 long, s2 long, anchor long, doc_id long, key long, first int, n_windows int, place decimal(38,0)"
-_WINDOW = "s1 long, s2 long, doc_id long, key long, first int, place decimal(38,0)"
+# digests are never null: else filters for that would make plans differ that share an exchange
+_BLOCK = "s1 long not null, s2 long not null, head long, tail long, split int, doc_id long not null, key long not null, first int, n_windows int, place decimal(38,0)"
+_HALF = "half long not null, s1 long not null, s2 long not null, side int"
+_FIRST_PLACE = "s1 long not null, s2 long not null, ref_doc long, ref_first int"
+_WINDOW = "s1 long not null, s2 long not null, doc_id long, key long, first int, place decimal(38,0)"
 _FACTOR = [("first", pa.int32()), ("n_words", pa.int32()), ("ref_doc", pa.int64()), ("ref_first", pa.int32())]
 _RESULT = (
     "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>, "
@@ -62,7 +67,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _blocks(words: tk.Words, span: int) -> dict[str, np.ndarray]:
-    """Blocks of a chunk: hashes, anchor, row, first window's word and number of windows."""
+    """Blocks of a chunk: digests, hashes of head and tail, how many windows hold the head (the others hold the tail), row, first window's word and number of windows."""
     anchor = min(ANCHOR, span)
     wide = span - anchor + 1
     hashes = words.hashes(0)
@@ -78,7 +83,14 @@ def _blocks(words: tk.Words, span: int) -> dict[str, np.ndarray]:
     first = window[cut]
     last = first + n - 1 + span
     one, two = words.digests(first, last)
-    return {"s1": one, "s2": two, "anchor": gram[at[cut]], "row": row[cut], "first": first - words.rows[row[cut]], "n": n}
+    mid, before = at[cut], wide // 2
+    split = np.clip(mid - before - first + 1, 0, n)
+    start, end = np.concatenate([mid - before, mid]), np.concatenate([mid + anchor, mid + span - before + 1])
+    there = np.concatenate([split > 0, split < n])
+    halves = np.zeros(len(there), dtype=tk.U64)
+    halves[there] = tk.spans_hash(hashes, start[there], end[there], 2)
+    head, tail = (pa.array(tk.signed(x), mask=~y) for x, y in zip(np.split(halves, 2), np.split(there, 2), strict=True))
+    return {"s1": one, "s2": two, "head": head, "tail": tail, "split": split, "row": row[cut], "first": first - words.rows[row[cut]], "n": n}
 
 
 def _places(doc_id: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -115,19 +127,50 @@ def _emit_blocks(span: int):
                         [
                             pa.array(tk.signed(found["s1"])),
                             pa.array(tk.signed(found["s2"])),
-                            pa.array(tk.signed(found["anchor"])),
+                            found["head"],
+                            found["tail"],
+                            pa.array(found["split"].astype(np.int32)),
                             pa.array(ids),
                             pa.array(keys),
                             pa.array(found["first"].astype(np.int32)),
                             pa.array(found["n"].astype(np.int32)),
                             _places(ids, found["first"]),
                         ],
-                        names=["s1", "s2", "anchor", "doc_id", "key", "first", "n_windows", "place"],
+                        names=["s1", "s2", "head", "tail", "split", "doc_id", "key", "first", "n_windows", "place"],
                     )
 
     return emit
 
 
+def _emit_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heads (side 1) and tails (side 2) of the blocks of the index."""
+    for batch in batches:
+        for side, name in ((1, "head"), (2, "tail")):
+            part = batch.filter(batch.column(name).is_valid())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(name), part.column("s1"), part.column("s2"), pa.array(np.full(part.num_rows, side, dtype=np.int32))],
+                names=["half", "s1", "s2", "side"],
+            )
+
+
+def _emit_first_places(*more: str):
+    """Digests with their first place, and the columns named in more.
+
+    All columns of merged blocks come in here as in `_emit_halves`, so both read one exchange; what goes out is
+    dealt anew for a lookup, so adaptive execution can split a hot passage there.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("place")
+            both = np.frombuffer(place.buffers()[1], dtype="<i8").reshape(-1, 2)[place.offset : place.offset + len(place)] if len(place) else np.zeros((0, 2), dtype=np.int64)
+            low, high = both[:, 0], both[:, 1]
+            ref = [pa.array((high << 32) | ((low >> 32) & 0xFFFFFFFF)), pa.array((low & 0xFFFFFFFF).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column("s1"), batch.column("s2"), *ref, *(batch.column(x) for x in more)], names=["s1", "s2", "ref_doc", "ref_first", *more])
+
+    return emit
+
+
 def _lists(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     """Fields and lengths of a column of lists of structs; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -224,28 +267,36 @@ def remove_repeated_spans(docs: DataFrame, span: int = 50, with_text: bool = Tru
 
     A factor says that its words stand in document ref_doc from word ref_first on.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text"))
+    # an alias where none is needed would keep the plans below from sharing the exchange of the texts
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    docs = docs.select(doc_id, "text").withColumn("key", F.xxhash64("text"))
     blocks = docs.where("doc_id IS NOT NULL").mapInArrow(_emit_blocks(span), _BLOCK)
-    ref_first = F.expr("CAST(place - CAST(ref_doc AS DECIMAL(38,0)) * 4294967296 AS INT)").alias("ref_first")
-    index = blocks.groupBy("s1", "s2").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last_doc"), F.first("anchor").alias("anchor"), F.min("place").alias("place"))
-    shared = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_blocks")).where("n_blocks > 1").select("anchor", F.lit(True).alias("edge"))
-    index = index.join(shared, "anchor", "left").where("edge OR ref_doc < last_doc").select("s1", "s2", "ref_doc", ref_first, "edge")
-    hits = blocks.select("s1", "s2", "doc_id", "key", "first", "n_windows").join(index, ["s1", "s2"]).where("doc_id > ref_doc OR edge")
+    ends = F.min("place").alias("place"), F.max("doc_id").alias("last_doc")
+    in_later = "place < CAST(last_doc AS DECIMAL(38,0)) * 4294967296"  # the first place is in a document before the last one
+    # equal blocks have equal heads, tails and splits
+    merged = blocks.groupBy("s1", "s2").agg(*ends, F.max("head").alias("head"), F.max("tail").alias("tail"), F.max("split").alias("split"))
+    halves = merged.mapInArrow(_emit_halves, _HALF)
+    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n_blocks")).where("n_blocks > 1").select("half")
+    edge = halves.join(shared, "half").groupBy("s1", "s2").agg(F.bit_or("side").alias("edge"))
+    index = merged.join(edge, ["s1", "s2"], "left").where(f"edge IS NOT NULL OR {in_later}").mapInArrow(_emit_first_places("edge", "split"), f"{_FIRST_PLACE}, edge int, split int")
+    hits = blocks.select("s1", "s2", "doc_id", "key", "first", "n_windows").join(index, ["s1", "s2"]).where("doc_id > ref_doc OR edge IS NOT NULL")
+    lookup = F.struct(F.expr("IF(edge = 2, first + split, first)").alias("first"), F.expr("CASE edge WHEN 1 THEN split WHEN 2 THEN n_windows - split ELSE n_windows END").alias("n_windows"))
     per_doc = saved(
         hits.groupBy("doc_id", "key").agg(
             F.collect_list(F.when(F.col("doc_id") > F.col("ref_doc"), F.struct("first", "n_windows", "ref_doc", "ref_first"))).alias("full"),
-            F.collect_list(F.when(F.col("doc_id") == F.col("ref_doc"), F.struct("first", "n_windows"))).alias("edges"),
+            F.collect_list(F.when(F.col("doc_id") == F.col("ref_doc"), lookup)).alias("edges"),
         ),
         "factors",
     )
+    collect_garbage(docs.sparkSession)
     # both joins below need the texts dealt by document: the same filter and columns let Spark reuse that exchange
     named = docs.where("doc_id IS NOT NULL")
     edges = named.join(per_doc.where("size(edges) > 0").select("doc_id", "key", "edges"), ["doc_id", "key"])
     windows = edges.mapInArrow(_emit_windows(span), _WINDOW)
-    earliest = windows.groupBy("s1", "s2").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last_doc"), F.min("place").alias("place")).where("ref_doc < last_doc")
+    earliest = windows.groupBy("s1", "s2").agg(*ends).where(in_later).mapInArrow(_emit_first_places(), _FIRST_PLACE)
     piece = F.struct("first", F.lit(1).alias("n_windows"), "ref_doc", "ref_first")
     inner = (
-        windows.select("s1", "s2", "doc_id", "key", "first").join(earliest.select("s1", "s2", "ref_doc", ref_first), ["s1", "s2"]).where("doc_id > ref_doc")
+        windows.select("s1", "s2", "doc_id", "key", "first").join(earliest, ["s1", "s2"]).where("doc_id > ref_doc")
         .groupBy("doc_id", "key").agg(F.collect_set(piece).alias("inner"))
     )
     full = per_doc.where("size(full) > 0").select("doc_id", "key", "full")

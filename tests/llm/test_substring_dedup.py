@@ -110,3 +110,36 @@ def test_spans_and_text(spark):
 
 def test_empty(spark):
     assert m.remove_repeated_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_heads_and_tails(spark):
+    """Every place of a difference inside blocks around one passage."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    rows = [(0, " ".join(base))]
+    rows += [(i, " ".join(base[:i] + [f"other{i}"] + base[i + 1 :])) for i in range(1, 160, 3)]
+    rows += [(200 + i, " ".join([f"a{i}.{k}" for k in range(30)] + base[i : i + 50 + i % 4] + [f"b{i}.{k}" for k in range(30)])) for i in range(0, 108, 2)]
+    rows += [(-5, " ".join(base[40:95])), (2**40, " ".join(base[30:81])), (-(2**40), " ".join(base[100:150] + ["c"] * 130))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for span in (9, 11, 50):
+        assert result(m.remove_repeated_spans(df, span=span)) == brute(rows, span)
+
+
+def test_what_is_shuffled(spark):
+    """Stock phrases shorter than a window lead to no lookups of single windows, and texts go through one exchange."""
+    rng = random.Random(5)
+    stock = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(12)) for _ in range(20)]
+    rows = [(i, " ".join(rng.choice(stock) + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(10)) for _ in range(30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = set(_written(spark))
+    m.remove_repeated_spans(df, with_text=False).write.format("noop").mode("overwrite").save()
+    assert 0 < sum(n for k, n in _written(spark).items() if k not in before) < 1.25 * sum(len(t) for _, t in rows)
+
+
+def _written(spark):
+    """Shuffled bytes of each stage."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = jvm.java.util.ArrayList()
+    found = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
